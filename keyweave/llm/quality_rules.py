@@ -153,3 +153,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 def base_failed() -> Column:
     """Too short, or over half of the words in repeated windows."""
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept, all columns: the base rules pass and p_good >= least.
+
+    The verdict depends on the text alone, so it is looked up by the text's hash: rows without an id
+    and repeated ids are judged each by its own text.
+    """
+    text = text_or_empty(text_col)
+    keyed = docs.select(F.xxhash64(text, F.length(text)).alias("_q_key"), F.col(text_col).alias("text"))
+    judged = judge(keyed, "_q_key", "text", least)
+    good = judged.where(~base_failed() & F.col("kept")).select("_q_key").distinct()
+    return docs.withColumn("_q_of", F.xxhash64(text, F.length(text))).join(good, F.col("_q_of") == F.col("_q_key"), "left_semi").drop("_q_of")

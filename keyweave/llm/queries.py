@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, url_filter
+from keyweave.llm import chat_format, exact_dedup, license_scan, lm_score, mixing, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filter
 from keyweave.llm.common import read
 
 #: Host rules of the URL query (host, path, action), and the patterns that decide where none of them fits.
@@ -58,6 +58,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "p_good")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "text_digest", "license", F.array_join("notices", ",").alias("notices"), F.size("notices").cast("long").alias("n_notices"))
@@ -73,6 +77,15 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g
 FROM documents d JOIN g ON coalesce(d.text, '') = g.text
 """
 
+#: The vocabulary of the subword operators.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_score.score(read(spark, sf_dir, "documents"), MODEL_FILE, held_out)
+
+
 #: A conversation whose texts look like control strings.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 
@@ -112,14 +125,34 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE)
+    back = sentencepiece_codec.decode(encoded, MODEL_FILE)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_quality_rules": op2_quality_rules,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_license_scans": op4_license_scans,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_mixing": op8_mixing,
+        "op9_sentencepiece": op9_sentencepiece,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
