@@ -1,41 +1,17 @@
-"""The registered queries over the driver's tables, each with its SQL oracle."""
+"""The registered queries over the driver's tables, each with its SQL oracle where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from keyweave.plans import inventory_queries, lookup_queries, resolve_queries, text_queries
+from keyweave.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "resolve_top1"
+_MODULES = (inventory_queries, lookup_queries, text_queries, resolve_queries)
 
-FLAGSHIP = "region_members"
 
-REGION_MEMBERS = """
-SELECT DISTINCT p.p_partkey AS item_key, p.p_name AS item_name, r.r_name AS region,
-       n.n_name AS country, s.s_name AS source_name
-FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey
-JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name ILIKE '%europe%'
-"""
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["part", "lineitem", "supplier", "nation", "region"]
-    return spark.sql(
-        REGION_MEMBERS.replace("FROM part p", "FROM {part} p")
-        .replace("JOIN lineitem l", "JOIN {lineitem} l")
-        .replace("JOIN supplier s", "JOIN {supplier} s")
-        .replace("JOIN nation n", "JOIN {nation} n")
-        .replace("JOIN region r", "JOIN {region} r"),
-        **{n: table(spark, sf_dir, n) for n in names},
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"region_members": region_members}
+def queries() -> dict[str, Query]:
+    return {name: q for m in _MODULES for name, q in m.REG.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"region_members": REGION_MEMBERS}
+    return {name: q for m in _MODULES for name, q in m.REG.sql.items()}
