@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Standard atomic weights.
 ATOMIC_WEIGHTS = {
@@ -19,7 +20,7 @@ ATOMIC_WEIGHTS = {
     "Te": 127.60, "I": 126.90, "Xe": 131.29, "Cs": 132.91, "Ba": 137.33, "La": 138.91, "Ce": 140.12, "W": 183.84, "Pt": 195.08, "Au": 196.97,
     "Hg": 200.59, "Tl": 204.38, "Pb": 207.2, "Bi": 208.98, "Th": 232.04, "U": 238.03,
 }
-STRUCTURE = "canonical_smiles string, kekulized_smiles string, inchi string, inchikey string, mass double"
+STRUCTURE = T.StructType([T.StructField(n, T.StringType()) for n in ("canonical_smiles", "kekulized_smiles", "inchi", "inchikey")] + [T.StructField("mass", T.DoubleType())])
 
 
 def available() -> bool:
@@ -38,7 +39,7 @@ def formula_mass(formula: Column) -> Column:
 @F.pandas_udf(STRUCTURE)
 def normalise_structure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Struct of STRUCTURE; all null without a backend or for an invalid structure."""
-    names = [c.split()[0] for c in STRUCTURE.split(", ")]
+    names = STRUCTURE.names
     chem = None
     if importlib.util.find_spec("rdkit") is not None:
         from rdkit import Chem as chem
@@ -59,7 +60,7 @@ def normalise_structure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def substructure(pattern: str):
     """UDF: does a structure match the pattern? Null without a backend."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def match(smiles: pd.Series) -> pd.Series:
         if importlib.util.find_spec("rdkit") is None:
             return pd.Series([None] * len(smiles), dtype="object")
@@ -72,7 +73,7 @@ def substructure(pattern: str):
     return match
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def morgan_bits(smiles: pd.Series) -> pd.Series:
     """Radius 2, 2048 bits, as 32 longs; null without a backend."""
     if importlib.util.find_spec("rdkit") is None:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _indel(a: str, b: str) -> float:
@@ -25,13 +26,13 @@ def _indel(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100; null if either is null."""
     return pd.Series([None if x is None or y is None else _indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 for names that are equal after trimming and lower-casing, else the Ratcliff-Obershelp ratio; 0 for a missing one."""
 

@@ -36,10 +36,15 @@ def classify(rows: DataFrame, predict: Predict, memo: DataFrame, version: str) -
     return keyed.join(found.withColumnRenamed("key", "_key"), "_key", "left").drop("_key"), new
 
 
+def _short(score: Column) -> Column:
+    """Six significant digits without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", score), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def label_columns(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """labels as pipe-joined ids and scores, and names if a table (id, name) is given; ids in order."""
     ids = F.array_sort(F.map_keys("labels"))
-    out = rows.withColumn("class_ids", F.array_join(ids, "|")).withColumn("class_scores", F.array_join(F.transform(ids, lambda i: F.format_string("%.6g", F.col("labels")[i])), "|"))
+    out = rows.withColumn("class_ids", F.array_join(ids, "|")).withColumn("class_scores", F.array_join(F.transform(ids, lambda i: _short(F.col("labels")[i])), "|"))
     if names is None:
         return out
     table = names.agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("_names"))

@@ -179,14 +179,14 @@ _GRID = ", ".join(f"('{m}', {'NULL' if b is None else b}::DOUBLE, {rs.SCORED.get
 
 
 @REG.query(f"""
-WITH m(method, base, scaled) AS (VALUES {_GRID}), g AS (SELECT *, s * 0.19 AS q, c * 0.23 AS consensus FROM m, range(0, 5) n(n), range(0, 6) s(s), range(0, 5) c(c))
+WITH m(method, base, scaled) AS (VALUES {_GRID}), g AS (SELECT *, s * 0.191371 AS q, c * 0.231713 AS consensus FROM m, range(0, 5) n(n), range(0, 6) s(s), range(0, 5) c(c))
 SELECT method, n AS n_sources, s AS score_step, c AS consensus_step, CASE WHEN consensus = 0 THEN 0.0 ELSE
   round(least(greatest(coalesce(base, scaled * q) * (0.5 * CASE WHEN base IS NULL THEN 1.0 ELSE q END + 0.5) * (0.5 + 0.5 * consensus) * CASE n WHEN 1 THEN 0.85 WHEN 2 THEN 0.95 ELSE 1.0 END, 0), 1), 4) END::DOUBLE AS confidence FROM g""")
 def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.createDataFrame([(m,) for m in _METHODS], "method string")
     for name, n in (("n_sources", 5), ("score_step", 6), ("consensus_step", 5)):
         grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    return grid.withColumn("confidence", rs.confidence(F.col("method"), F.col("consensus_step") * 0.23, F.col("score_step") * 0.19, F.col("n_sources")))
+    return grid.withColumn("confidence", rs.confidence(F.col("method"), F.col("consensus_step") * 0.231713, F.col("score_step") * 0.191371, F.col("n_sources")))
 
 
 @REG.query("""
