@@ -13,10 +13,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyweave.llm.common import checkpointed, text_or_empty
 
@@ -64,28 +64,27 @@ def counts(text: str) -> tuple[int, ...]:
     )
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in COUNTS]])
+def _count(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches without their last column, a text, and with its counts."""
     for batch in batches:
-        found = [counts(x) for x in batch.column(1).to_pylist()]
-        columns = list(zip(*found)) or [[]] * len(COUNTS)
-        yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
+        columns = list(zip(*(counts(x) for x in batch.column(batch.num_columns - 1).to_pylist()))) or [[]] * len(COUNTS)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in columns]], names=names)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and COUNTS. A null text has no words."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col))
-    found = named.mapInArrow(_count, "doc_id long, " + ", ".join(f"{n} long" for n in COUNTS))
-    return found.withColumnRenamed("doc_id", id_col)
+def measured(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The carried columns (all by default) of each document and COUNTS under prefix. A null text has no words."""
+    carried = docs.columns if carry is None else carry
+    schema = T.StructType([*[docs.schema[c] for c in carried], *[T.StructField(prefix + n, T.LongType()) for n in COUNTS]])
+    return docs.select(*carried, text_or_empty(text_col).alias("_kw_text")).mapInArrow(lambda b: _count(b, schema.names), schema)
 
 
 def _between(value: Column, bad: Column, good: Column) -> Column:
     return F.when(value.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
 
 
-def votes() -> dict[str, Column]:
+def votes(prefix: str = "") -> dict[str, Column]:
     """Rule -> vote (1 good, -1 bad, 0 abstains), over the columns of measured()."""
-    c = F.col
+    c = lambda n: F.col(prefix + n)
     words = F.when(c("n_words") > 0, c("n_words"))
     lines = F.when(c("n_lines") > 0, c("n_lines"))
     symbols, repeats = c("n_symbol_words") / words, c("n_repeat_words") / words
@@ -131,38 +130,46 @@ def estimate(patterns: np.ndarray, counted: np.ndarray, rounds: int = 100, false
     return {"prior": np.array(prior), "table": table, "posterior": good}
 
 
+def posteriors(voted: DataFrame, names: list[str]) -> DataFrame:
+    """names, p_good: the posterior of each vote pattern that occurs, from the counts of all of them."""
+    # at most 3 ** len(names) rows, however large voted is
+    seen = voted.groupBy(*names).count().orderBy(*names).toPandas()
+    fitted = estimate(seen[names].to_numpy(int), seen["count"].to_numpy(float))
+    rows = [(*map(int, r), float(p)) for r, p in zip(seen[names].itertuples(index=False), fitted["posterior"])]
+    return voted.sparkSession.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", p_good double")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row per document: id, COUNTS, votes (vote_<rule>), p_good, kept (p_good >= least).
 
-    Repeated rows and ids give a row each; a document without words has no votes but that of its
-    length. An empty table gives no rows.
+    Repeated rows and ids give a row each; where no rule votes the prior decides. An empty table gives
+    no rows.
     """
     rules = votes()
-    spark = docs.sparkSession
-    voted = checkpointed(measured(docs, id_col, text_col).select("*", *[v.cast("int").alias(f"vote_{n}") for n, v in rules.items()]))
+    voted = checkpointed(measured(docs, text_col, [id_col]).select("*", *[v.cast("int").alias(f"vote_{n}") for n, v in rules.items()]))
     names = [f"vote_{n}" for n in rules]
-    # at most 3 ** len(rules) rows, however large docs is
-    seen = voted.groupBy(*names).count().orderBy(*names).toPandas()
-    fitted = estimate(seen[names].to_numpy(int), seen["count"].to_numpy(float))
-    rows = seen[names].astype("int32").assign(p_good=pd.Series(fitted["posterior"], dtype=float))
-    schema = ", ".join(f"{n} int" for n in names) + ", p_good double"
-    table = spark.createDataFrame([(*map(int, r[:-1]), float(r[-1])) for r in rows.itertuples(index=False)], schema)
-    return voted.join(F.broadcast(table), names).select(id_col, *COUNTS, *names, "p_good", (F.col("p_good") >= least).alias("kept"))
+    judged = voted.join(F.broadcast(posteriors(voted, names)), names)
+    return judged.select(id_col, *COUNTS, *names, "p_good", (F.col("p_good") >= least).alias("kept"))
 
 
-def base_failed() -> Column:
-    """Too short, or over half of the words in repeated windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def keep(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose base rules pass and whose p_good >= least, all columns.
 
+    Texts are measured twice, once for the fit and once for the verdict, so that they are never
+    shuffled and neither ids nor texts need to be unique.
+    """
+    rules = votes()
+    names = [f"vote_{n}" for n in rules]
+    table = posteriors(measured(docs, text_col, []).select(*[v.cast("int").alias(f"vote_{n}") for n, v in rules.items()]), names)
+    own = {n: f"_kw_{n}" for n in names}
+    at = measured(docs, text_col, prefix="_kw_")
+    at = at.withColumns({own[f"vote_{n}"]: v.cast("int") for n, v in votes("_kw_").items()})
+    table = table.select(*[F.col(n).alias(f"_kw_of_{n}") for n in names], F.col("p_good").alias("_kw_p_good"))
+    same = [F.col(own[n]) == F.col(f"_kw_of_{n}") for n in names]
+    return at.where(~base_failed("_kw_")).join(F.broadcast(table.where(F.col("_kw_p_good") >= least)), same, "left_semi").select(*docs.columns)
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, all columns: the base rules pass and p_good >= least.
 
-    The verdict depends on the text alone, so it is looked up by the text's hash: rows without an id
-    and repeated ids are judged each by its own text.
-    """
-    text = text_or_empty(text_col)
-    keyed = docs.select(F.xxhash64(text, F.length(text)).alias("_q_key"), F.col(text_col).alias("text"))
-    judged = judge(keyed, "_q_key", "text", least)
-    good = judged.where(~base_failed() & F.col("kept")).select("_q_key").distinct()
-    return docs.withColumn("_q_of", F.xxhash64(text, F.length(text))).join(good, F.col("_q_of") == F.col("_q_key"), "left_semi").drop("_q_of")
+def base_failed(prefix: str = "") -> Column:
+    """Too short, or over half of the words in repeated windows."""
+    words, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < 50) | (100 * repeated > 50 * words)
