@@ -73,7 +73,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "do
     """
     digests = known_digests(docs.sparkSession, known)
     listed = digests.collect()  # MAX_KNOWN rows at most
-    table = F.create_map(*[F.lit(v) for r in listed for v in (r["digest"], r["license"])]) if listed else F.create_map()
+    table = F.create_map(*[F.lit(v) for r in listed for v in (r["digest"], r["license"])]) if listed else F.create_map().cast("map<string,string>")
     chars = sorted({r["chars"] for r in listed})
     each = docs.select(F.col(id_col).alias("id"), normalised_lines(text_or_empty(text_col)).alias("lines"))
     # a line of another length equals no known text, so few lines need a digest, and their lookup no row each
