@@ -147,15 +147,14 @@ def score(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id", te
     ln10, end_base = math.log(10), math.log10((ends + 1) / denominator)
 
     def score_block(block: pa.Table, answers: pa.Table) -> pa.Table:
-        names = answers["word"].to_pylist()
+        at = {w: i for i, w in enumerate(answers["word"].to_pylist())}
         counts = answers["count"].to_numpy()
-        base = dict(zip(names, np.log10((counts + 1) / denominator).tolist()))
-        known = {w for w, c in zip(names, counts.tolist()) if c}
-        lattice = dict(zip(names, (answers["log_p"].to_numpy() / ln10).tolist()))
+        known, base, lattice = counts > 0, np.log10((counts + 1) / denominator), answers["log_p"].to_numpy() / ln10
         rows = []
         for text in block["text"].to_pylist():
             tokens = _words(text)
-            rows.append((len(tokens) + 1, sum(map(known.__contains__, tokens)) + (ends > 0), math.fsum(map(base.__getitem__, tokens)) + end_base, math.fsum(map(lattice.__getitem__, tokens)) + log_end / ln10))
+            i = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
+            rows.append((len(tokens) + 1, int(known[i].sum()) + (ends > 0), float(base[i].sum()) + end_base, float(lattice[i].sum()) + log_end / ln10))
         columns = list(zip(*rows)) or [[]] * 4
         return pa.table({
             "id": block["id"],
