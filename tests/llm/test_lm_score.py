@@ -59,13 +59,12 @@ def test_scores_against_a_plain_version(spark, docs, vocabulary):
     log_p, log_end = [-math.log(2 + i) for i in range(len(vocabulary.scores))], 0.0
     for _ in range(lm_score.ROUNDS):
         uses = collections.Counter()
-        for word, c in count.items():
-            [(_, ids)] = best_paths([" " + word.decode()], vocabulary, log_p)
+        for word, ids in best_paths(sorted(" " + w.decode() for w in count), vocabulary, log_p):
             for i in ids:
-                uses[i] += c
+                uses[i] += count[word[1:].encode()]
         log_p, log_end = lm_score.log_probabilities(uses, len(log_p), ends)
     every = {w for words in rows.values() for w in words}
-    lattice = {w: next(marginals([" " + w.decode()], vocabulary, log_p))[1] / math.log(10) for w in every}
+    lattice = {w[1:].encode(): p / math.log(10) for w, p in marginals(sorted(" " + w.decode() for w in every), vocabulary, log_p)}
     got = lm_score.score(docs, MODEL_FILE, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, block_bytes=30_000).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -81,7 +80,8 @@ def test_better_than_uniform_pieces_on_held_out_documents(spark, docs, vocabular
     flat = [-math.log(len(vocabulary.scores) + 1)] * len(vocabulary.scores)
     words = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
     score = sum(r["score"] for r in got)
-    uniform = sum(s for r in got for w in words[r["doc_id"]] for _, s in marginals([" " + w.decode()], vocabulary, flat)) / math.log(10)
+    used = collections.Counter(" " + w.decode() for r in got for w in words[r["doc_id"]])
+    uniform = sum(p * used[w] for w, p in marginals(sorted(used), vocabulary, flat)) / math.log(10)
     assert score > 0.8 * uniform
 
 
