@@ -21,36 +21,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keyweave.llm.vocabulary import Vocabulary, best_paths
+from keyweave.llm.vocabulary import Viterbi, Vocabulary
 
-#: Characters of texts worked on at once, and words whose ids a task remembers.
-CHUNK_CHARS, REMEMBERED = 4 << 20, 300_000
+#: Characters of texts and ids worked on at once, and words whose ids a task remembers.
+CHUNK_CHARS, CHUNK_IDS, REMEMBERED = 1 << 20, 1 << 20, 150_000
 _MARKED = re.compile(r" *[^ \n]+| +|\n")
 
 
 def _encode(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, at: int) -> Iterator[pa.RecordBatch]:
     known: dict[str, bytes] = {}
+    best = Viterbi(vocabulary)
     for batch in batches:
-        texts = batch.column(at).to_pylist()
-        packed: list[bytes] = []
         first = 0
-        while first < len(texts):
-            last, chars = first, 0
-            while last < len(texts) and (last == first or chars < CHUNK_CHARS):
-                chars += len(texts[last] or "")
-                last += 1
-            marked = [_MARKED.findall(" " + t) if t else [] for t in texts[first:last]]
+        while first < batch.num_rows:
+            texts: list[str] = []
+            chars = 0
+            while first + len(texts) < batch.num_rows and (not texts or chars < CHUNK_CHARS):
+                texts.append(batch.column(at)[first + len(texts)].as_py() or "")
+                chars += len(texts[-1])
+            marked = [_MARKED.findall(" " + t) if t else [] for t in texts]
             if len(known) > REMEMBERED:
                 known.clear()
             new = {w for words in marked for w in words if w not in known}
-            for word, ids in best_paths(sorted(new), vocabulary):
+            for word, ids in best(sorted(new)):
                 known[word] = np.array(ids, np.int32).tobytes()
-            packed += [b"".join(map(known.__getitem__, words)) for words in marked]
-            first = last
-        offsets = np.zeros(len(texts) + 1, np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "_ids"])
+            packed = [b"".join(map(known.__getitem__, words)) for words in marked]
+            offsets = np.zeros(len(texts) + 1, np.int32)
+            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, ids], names=[*batch.schema.names, "_ids"])
+            first += len(texts)
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -75,21 +75,33 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col:
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = shared.value
+        spelling = pa.array(shared.value, pa.binary())
         for batch in batches:
-            texts = []
-            for i in range(batch.num_rows):
-                ids = batch.column(at)[i]
-                if not ids.is_valid:
-                    texts.append(None)
-                    continue
-                data = b"".join(map(spelling.__getitem__, ids.values.to_pylist()))
-                texts.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_text"])
+            lists, first = batch.column(at), 0
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            while first < batch.num_rows:
+                done = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + CHUNK_IDS)))
+                part = lists.slice(first, last - first)
+                # the spellings of all ids of the part, side by side
+                taken = spelling.take(part.flatten())
+                starts = np.concatenate([[0], ends[first:last] - done])
+                texts = []
+                for a, b, valid in zip(starts[:-1].tolist(), starts[1:].tolist(), part.is_valid().to_pylist()):
+                    data = _joined(taken, a, b) if b > a else b""
+                    texts.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace") if valid else None)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_text"])
+                first = last
 
     return encoded.mapInArrow(lambda b: _named(run(b), schema.names), schema)
 
 
+def _joined(strings: pa.BinaryArray, first: int, last: int) -> bytes:
+    """The bytes of strings[first:last], which stand side by side in the array's buffer."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :]
+    return strings.buffers()[2][int(offsets[first]) : int(offsets[last])].to_pybytes()
+
+
 def _named(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays(batch.columns, names=names)

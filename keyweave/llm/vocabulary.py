@@ -61,72 +61,91 @@ def backward_trie(vocabulary: Vocabulary, scores: list[float]) -> dict:
     return root
 
 
-def best_paths(words: Iterable[str], vocabulary: Vocabulary, scores: list[float] | None = None) -> Iterator[tuple[str, list[int]]]:
-    """Viterbi over sorted words: each word with the ids of its best segmentation.
+class Viterbi:
+    """Best segmentations of words, with the forward scores of the word before kept.
 
-    The words form a trie that is walked depth first: the forward scores of the prefix that a word
-    shares with the one before stay on the stack. Of equal scores the one whose last piece is
-    longer wins, as in the library's unigram encoder. Unknown characters are spelt in bytes.
+    Called with sorted words, they form a trie that is walked depth first: the forward scores of the
+    prefix that a word shares with the one before stay on the stack, over calls as well. Of equal
+    scores the one whose last piece is longer wins, as in the library's unigram encoder. Unknown
+    characters are spelt in bytes.
     """
-    scores = vocabulary.scores if scores is None else scores
-    trie = backward_trie(vocabulary, scores)
-    unknown = min(scores[i] for i in vocabulary.pieces.values()) - UNKNOWN_PENALTY
-    best, back, before = [0.0], [(0, 0)], ""  # by end: score of the best path, (start, id or -1)
-    for word in words:
-        shared = len(commonprefix((before, word)))
-        del best[shared + 1 :], back[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            top, at, start = None, (0, 0), end
-            node = trie
-            while start:
-                start -= 1
-                node = node.get(word[start])
-                if node is None:
-                    break
-                found = node.get("")
-                if found is not None and (top is None or best[start] + found[1] >= top):
-                    top, at = best[start] + found[1], (start, found[0])
-            if word[end - 1] not in vocabulary.pieces:
-                score = best[end - 1] + unknown
-                if top is None or score > top:
-                    top, at = score, (end - 1, -1)
-            best.append(top)
-            back.append(at)
-        before, ids, end = word, [], len(word)
-        while end:
-            start, i = back[end]
-            if i >= 0:
-                ids.append(i)
-            else:
-                ids += [vocabulary.byte_ids[b] for b in reversed(word[start:end].encode())]
-            end = start
-        ids.reverse()
-        yield word, ids
 
+    def __init__(self, vocabulary: Vocabulary, scores: list[float] | None = None) -> None:
+        scores = vocabulary.scores if scores is None else scores
+        self.vocabulary, self.trie = vocabulary, backward_trie(vocabulary, scores)
+        self.unknown = min(scores[i] for i in vocabulary.pieces.values()) - UNKNOWN_PENALTY
+        self.best, self.back, self.before = [0.0], [(0, 0)], ""  # by end: score of the best path, (start, id or -1)
+
+    def __call__(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word with the ids of its best segmentation."""
+        best, back, pieces, byte_ids = self.best, self.back, self.vocabulary.pieces, self.vocabulary.byte_ids
+        for word in words:
+            shared = len(commonprefix((self.before, word)))
+            del best[shared + 1 :], back[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                top, at, start, node = None, (0, 0), end, self.trie
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    found = node.get("")
+                    if found is not None and (top is None or best[start] + found[1] >= top):
+                        top, at = best[start] + found[1], (start, found[0])
+                if word[end - 1] not in pieces:
+                    score = best[end - 1] + self.unknown
+                    if top is None or score > top:
+                        top, at = score, (end - 1, -1)
+                best.append(top)
+                back.append(at)
+            self.before, ids, end = word, [], len(word)
+            while end:
+                start, i = back[end]
+                if i >= 0:
+                    ids.append(i)
+                else:
+                    ids += [byte_ids[b] for b in reversed(word[start:end].encode())]
+                end = start
+            ids.reverse()
+            yield word, ids
+
+
+class Marginals:
+    """Log probabilities of words, summed over all segmentations, by a forward recursion in log space; shared prefixes are reused as in Viterbi."""
+
+    def __init__(self, vocabulary: Vocabulary, log_p: list[float]) -> None:
+        self.vocabulary, self.log_p, self.trie = vocabulary, log_p, backward_trie(vocabulary, log_p)
+        self.forward, self.before = [0.0], ""
+
+    def __call__(self, words: Iterable[str]) -> Iterator[tuple[str, float]]:
+        forward, pieces, exp, log = self.forward, self.vocabulary.pieces, math.exp, math.log
+        for word in words:
+            shared = len(commonprefix((self.before, word)))
+            del forward[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                terms, start, node = [], end, self.trie
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    found = node.get("")
+                    if found is not None:
+                        terms.append(forward[start] + found[1])
+                if word[end - 1] not in pieces:
+                    terms.append(forward[end - 1] + sum(self.log_p[self.vocabulary.byte_ids[b]] for b in word[end - 1].encode()))
+                if len(terms) == 1:
+                    forward.append(terms[0])
+                else:
+                    top = max(terms)
+                    forward.append(top + log(sum([exp(t - top) for t in terms])))
+            self.before = word
+            yield word, forward[-1]
 
-def marginals(words: Iterable[str], vocabulary: Vocabulary, log_p: list[float]) -> Iterator[tuple[str, float]]:
-    """Over sorted words: the log probability of each, summed over all segmentations, by a forward recursion in log space.
 
-    The forward values of shared prefixes are reused, as in best_paths.
-    """
-    trie, exp, log = backward_trie(vocabulary, log_p), math.exp, math.log
-    forward, before = [0.0], ""
-    for word in words:
-        shared = len(commonprefix((before, word)))
-        del forward[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            terms, start, node = [], end, trie
-            while start:
-                start -= 1
-                node = node.get(word[start])
-                if node is None:
-                    break
-                found = node.get("")
-                if found is not None:
-                    terms.append(forward[start] + found[1])
-            if word[end - 1] not in vocabulary.pieces:
-                terms.append(forward[end - 1] + sum(log_p[vocabulary.byte_ids[b]] for b in word[end - 1].encode()))
-            top = max(terms)
-            forward.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
-        before = word
-        yield word, forward[-1]
+def best_paths(words: Iterable[str], vocabulary: Vocabulary, scores: list[float] | None = None) -> Iterator[tuple[str, list[int]]]:
+    return Viterbi(vocabulary, scores)(words)
+
+
+def marginals(words: Iterable[str], vocabulary: Vocabulary, log_p: list[float]) -> Iterator[tuple[str, float]]:
+    return Marginals(vocabulary, log_p)(words)
