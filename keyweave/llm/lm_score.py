@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.llm.common import checkpointed, pieces, text_bytes, text_or_empty
-from keyweave.llm.vocabulary import Vocabulary, best_paths, marginals
+from keyweave.llm.vocabulary import Marginals, Viterbi, Vocabulary
 
 #: Text in a block, and distinct words that a counting task holds before it hands them on.
 BLOCK_BYTES, COUNTED = 8 << 20, 400_000
@@ -68,12 +68,6 @@ def _spelt(word: bytes) -> str:
     return " " + word.decode("utf-8", "replace")
 
 
-def _sorted_words(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict[str, tuple[bytes, int]], list[str]]]:
-    for batch in batches:
-        found = {_spelt(w): (w, c) for w, c in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist())}
-        yield found, sorted(found)
-
-
 def piece_counts(words: DataFrame, vocabulary, weights: list[float]) -> dict[int, int]:
     """How often the best segmentations of training words under weights use each piece; one number for each piece of the vocabulary reaches the driver."""
     schema = pa.schema([("piece", pa.int32()), ("uses", pa.int64())])
@@ -81,14 +75,13 @@ def piece_counts(words: DataFrame, vocabulary, weights: list[float]) -> dict[int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(*vocabulary.value)
-        uses = np.zeros(len(known.scores), np.int64)
-        for found, words_ in _sorted_words(batches):
-            for word, ids in best_paths(words_, known, shared.value):
-                count = found[word][1]
+        best, uses = Viterbi(known, shared.value), [0] * len(known.scores)
+        for batch in batches:
+            for (_, ids), count in zip(best(map(_spelt, batch.column("word").to_pylist())), batch.column("count").to_pylist()):
                 for i in ids:
                     uses[i] += count
-        used = np.flatnonzero(uses)
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(uses[used])], schema=schema)
+        used = [i for i, n in enumerate(uses) if n]
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([uses[i] for i in used], pa.int64())], schema=schema)
 
     counted = words.where("count > 0").mapInArrow(run, "piece int, uses long").groupBy("piece").agg(F.sum("uses").alias("uses"))
     return {r["piece"]: r["uses"] for r in counted.collect()}
@@ -113,7 +106,7 @@ def score(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id", te
     held = F.coalesce(held_out, F.lit(False))
     each = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), text_or_empty(text_col).alias("text"))
 
-    words = checkpointed(word_counts(each))
+    words = checkpointed(word_counts(each).sortWithinPartitions("word"))  # neighbours share prefixes
     totals = words.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
     ends = each.select("held_out").where("not held_out").count()
     train_tokens, distinct = (totals[0] or 0) + ends, (totals[1] or 0) + (ends > 0)
@@ -124,11 +117,10 @@ def score(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id", te
     denominator = train_tokens + distinct + 1
 
     def score_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(*vocabulary.value)
-        for found, sorted_ in _sorted_words(batches):
-            scored = [(*found[w], s) for w, s in marginals(sorted_, known, shared.value)]
-            columns = list(zip(*scored)) or [[], [], []]
-            yield pa.record_batch([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["word", "count", "log_p"])
+        total = Marginals(Vocabulary(*vocabulary.value), shared.value)
+        for batch in batches:
+            found = [p for _, p in total(map(_spelt, batch.column("word").to_pylist()))]
+            yield pa.record_batch([batch.column("word"), batch.column("count"), pa.array(found, pa.float64())], names=["word", "count", "log_p"])
 
     table = words.mapInArrow(score_words, "word binary, count long, log_p double")
 
