@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from keyweave.llm.vocabulary import Viterbi, Vocabulary
 
 #: Characters of texts and ids worked on at once, and words whose ids a task remembers.
-CHUNK_CHARS, CHUNK_IDS, REMEMBERED = 1 << 20, 1 << 20, 150_000
+CHUNK_CHARS, CHUNK_IDS, REMEMBERED = 1 << 20, 1 << 20, 250_000
 _MARKED = re.compile(r" *[^ \n]+| +|\n")
 
 
