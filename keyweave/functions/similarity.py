@@ -80,14 +80,14 @@ def sign_bits(vector: str) -> Column:
 FIELD_WEIGHTS = {"cas": 3.0, "canonical_smiles": 4.0, "inchikey": 3.0, "inchi": 2.0, "formula": 1.0, "mass": 2.0, "name": 1.0}
 
 
-def candidate_similarity(left: str, right: str, name_similarity: Column | None = None) -> Column:
-    """Weighted agreement in [0, 1] of the candidates with column prefixes left and right.
+def candidate_similarity(left: str | Column, right: str | Column, name_similarity: Column | None = None) -> Column:
+    """Weighted agreement in [0, 1] of two candidates, each a struct or the prefix of its columns.
 
     Only fields present on both sides count. Registry numbers agree if the sets overlap, masses fully
     within 0.2 and by half within 1.0. A name counts if its similarity is positive: fully from 0.9, by
     half from 0.7; without name_similarity that of two names is 1 if they are equal without case, else 0.
     """
-    c = lambda side, f: F.col(f"{side}{f}")
+    c = lambda side, f: F.col(f"{side}{f}") if isinstance(side, str) else side[f]
     gains: list[tuple[Column, Column, float]] = []
     for field, weight in FIELD_WEIGHTS.items():
         a, b = c(left, field), c(right, field)

@@ -121,44 +121,54 @@ def best_members(clustered: DataFrame) -> DataFrame:
     return clustered.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
-def consensus(members: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
-    """members with anchor (its source), match_score (similarity to the anchor) and consensus (its mean over the cluster).
+def _member(source: Column | str, record: dict[str, Column], config: ResolverConfig) -> Column:
+    """A cluster's member as a struct that sorts by the priority of its source."""
+    of = F.col(source) if isinstance(source, str) else source
+    return F.struct(priority(of, config.sources).alias("at"), of.alias("source"), *[c.alias(n) for n, c in record.items()])
+
+
+def _agree(packed: DataFrame, config: ResolverConfig) -> DataFrame:
+    """packed (members, an array of _member in order) with scores, anchor_at, anchor and consensus.
 
     A source's support is its mean similarity to the others, 1 if it is alone. Of the sources within
-    anchor_window of the best the one of highest priority is the anchor. A cluster has one member per
-    source, so the self join makes at most 25 rows of it.
+    anchor_window of the best the one of highest priority is the anchor; a score is the similarity to
+    it, the consensus their mean. A cluster has one member per source, so this is at most 25 pairs,
+    compared inside the row.
     """
-    fields = ["cas", "canonical_smiles", "inchikey", "inchi", "formula", "mass", "name"]
-    keyed = members.select("q_idx", "cluster", "source", *fields)
-    left = keyed.select("q_idx", "cluster", F.col("source").alias("source"), *[F.col(f).alias(f"a_{f}") for f in fields])
-    right = keyed.select("q_idx", "cluster", F.col("source").alias("other"), *[F.col(f).alias(f"b_{f}") for f in fields])
-    pairs = left.join(right, ["q_idx", "cluster"]).select(
-        "q_idx", "cluster", "source", "other", F.when(F.col("source") == F.col("other"), 1.0).otherwise(candidate_similarity("a_", "b_")).alias("similarity")
-    )
-    support = pairs.groupBy("q_idx", "cluster", "source").agg(F.coalesce(F.avg(F.when(F.col("source") != F.col("other"), F.col("similarity"))), F.lit(1.0)).alias("support"))
-    in_cluster = Window.partitionBy("q_idx", "cluster")
-    near = support.withColumn("_best", F.max("support").over(in_cluster)).where(F.col("support") >= F.col("_best") - config.anchor_window)
-    anchor = near.groupBy("q_idx", "cluster").agg(F.min_by("source", priority(F.col("source"), config.sources)).alias("anchor"))
-    to_anchor = pairs.join(anchor, ["q_idx", "cluster"]).where(F.col("other") == F.col("anchor")).select("q_idx", "cluster", "source", "anchor", F.col("similarity").alias("match_score"))
-    scored = members.join(to_anchor, ["q_idx", "cluster", "source"])
-    return scored.withColumn("consensus", F.avg("match_score").over(in_cluster))
-
-
-def merge(scored: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
-    """One row per cluster: each field from the first compatible source that has it, and where it came from."""
-    compatible = (F.col("match_score") >= config.compatible_from) | (F.col("source") == F.col("anchor"))
-    at = scored.withColumn("_at", priority(F.col("source"), config.sources))
-    first = [F.min(F.when(compatible & F.col(c).isNotNull(), F.struct("_at", F.col(c).alias("v"))))["v"].alias(c) for c in RECORD]
-    present = lambda c: F.size(c) > 0 if c == "cas" else F.col(c).isNotNull()
-    listed = F.array_sort(F.filter(F.array(*[F.when(present(c), F.lit(c)) for c in (*RECORD, "cas")]), lambda x: x.isNotNull()))
-    return at.groupBy("q_idx", "cluster", "anchor", "consensus").agg(
-        *first,
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("cas")))).alias("cas"),
-        F.min(F.when(compatible & F.col("smiles").isNotNull(), F.struct("_at", "source")))["source"].alias("source"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "match_score")))).alias("source_match_scores"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.struct(F.lit(True).alias("found"), listed.alias("fields")))))).alias("source_details"),
-        F.count("*").alias("n_source_support"),
-    )
+    sims = F.transform("members", lambda a: F.transform("members", lambda b: F.when(a["at"] == b["at"], 1.0).otherwise(candidate_similarity(a, b))))
+    n = F.size("members")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    support = F.transform("_sims", lambda row, i: F.when(n == 1, 1.0).otherwise(total(F.filter(row, lambda x, j: j != i)) / (n - 1)))
+    near = F.transform("_support", lambda x: x >= F.array_max("_support") - config.anchor_window)
+    out = packed.withColumn("_sims", sims).withColumn("_support", support).withColumn("anchor_at", (F.array_position(near, True) - 1).cast("int"))
+    out = out.withColumn("scores", F.transform("_sims", lambda row: F.get(row, F.col("anchor_at"))))
+    return out.withColumns({"anchor": F.get("members", "anchor_at")["source"], "consensus": total(F.col("scores")) / n}).drop("_sims", "_support")
+
+
+def consensus(members: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
+    """q_idx, cluster, source, anchor, match_score and consensus of the members (one per cluster and source)."""
+    record = {c: F.col(c) for c in (*RECORD, "cas")}
+    packed = members.groupBy("q_idx", "cluster").agg(F.array_sort(F.collect_list(_member("source", record, config))).alias("members"))
+    agreed = _agree(packed, config)
+    pairs = F.arrays_zip(F.transform("members", lambda m: m["source"]).alias("source"), F.col("scores").alias("match_score"))
+    return agreed.select("q_idx", "cluster", "anchor", "consensus", F.explode(pairs).alias("p")).select("q_idx", "cluster", "p.source", "anchor", "p.match_score", "consensus")
+
+
+def _merged(config: ResolverConfig) -> list[Column]:
+    """Each field from the first compatible member that has it, and what each source had."""
+    compatible = lambda i: (F.get("scores", i) >= config.compatible_from) | (i == F.col("anchor_at"))
+    first = lambda value: F.get(F.filter(F.transform("members", lambda m, i: F.when(compatible(i), value(m))), lambda v: v.isNotNull()), F.lit(0))
+    has = lambda m, c: F.size(m[c]) > 0 if c == "cas" else m[c].isNotNull()
+    fields = lambda m: F.array_sort(F.filter(F.array(*[F.when(has(m, c), F.lit(c)) for c in (*RECORD, "cas")]), lambda x: x.isNotNull()))
+    sources = F.transform("members", lambda m: m["source"])
+    return [
+        *[first(lambda m, c=c: m[c]).alias(c) for c in RECORD],
+        F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform("members", lambda m: m["cas"]), lambda x: x.isNotNull())))).alias("cas"),
+        first(lambda m: F.when(m["smiles"].isNotNull(), m["source"])).alias("source"),
+        F.map_from_arrays(sources, "scores").alias("source_match_scores"),
+        F.map_from_arrays(sources, F.transform("members", lambda m: F.struct(F.lit(True).alias("found"), fields(m).alias("fields")))).alias("source_details"),
+        F.size("members").cast("long").alias("n_source_support"),
+    ]
 
 
 def resolve(queries: DataFrame, pool: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
@@ -170,13 +180,23 @@ def resolve(queries: DataFrame, pool: DataFrame, config: ResolverConfig = Resolv
     kept = pool.where(~has_attachment_point(F.col("smiles")) | has_attachment_point(F.col("query")))
     clustered = kept.withColumn("cluster", cluster_key(config.cluster_by_skeleton))
     strength = base_confidence(F.col("match_method"), F.col("query_match_score"))
-    whole = clustered.groupBy("q_idx", "cluster").agg(
-        F.max_by("match_method", F.struct(strength, -F.col("pool_pos"))).alias("match_method"),
+    # the best member of each source, then the members of each cluster: two aggregations over one pool
+    score = F.coalesce("query_match_score", F.lit(float("-inf")))
+    by_source = clustered.groupBy("q_idx", "cluster", "source").agg(
+        F.min_by(F.struct(*RECORD, "cas"), F.struct("origin_rank", -score, "pool_pos")).alias("r"),
+        F.max(F.struct(strength.alias("strength"), (-F.col("pool_pos")).alias("early"), "match_method")).alias("strongest"),
         F.max("query_match_score").alias("query_score"),
         F.min("origin_rank").alias("least_rank"),
         F.min("pool_pos").alias("first_pos"),
     )
-    merged = merge(consensus(best_members(clustered), config), config).join(whole, ["q_idx", "cluster"])
+    packed = by_source.groupBy("q_idx", "cluster").agg(
+        F.array_sort(F.collect_list(_member("source", {c: F.col("r")[c] for c in (*RECORD, "cas")}, config))).alias("members"),
+        F.max("strongest")["match_method"].alias("match_method"),
+        F.max("query_score").alias("query_score"),
+        F.min("least_rank").alias("least_rank"),
+        F.min("first_pos").alias("first_pos"),
+    )
+    merged = _agree(packed, config).select("q_idx", "cluster", "anchor", "consensus", "match_method", "query_score", "least_rank", "first_pos", *_merged(config))
     merged = merged.withColumn("confidence", confidence(F.col("match_method"), F.col("consensus"), F.col("query_score"), F.col("n_source_support"), config.query_weight))
     by_query = Window.partitionBy("q_idx")
     order = by_query.orderBy(F.desc("confidence"), F.desc("n_source_support"), F.desc("query_score"), "least_rank", "first_pos")
