@@ -21,6 +21,8 @@ from keyweave.llm.common import checkpointed, text_or_empty, word_count
 
 #: Documents in a bucket of a source's order, about.
 BUCKET_ROWS = 4096
+#: A table of sources or buckets of up to so many rows is broadcast, so that texts aren't dealt by source; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def _order(id_col: str, seed: int) -> Column:
@@ -28,6 +30,11 @@ def _order(id_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), text_or_empty(), F.lit(seed)), 11) / F.lit(float(2**53))
 
 
+def _if_small(df: DataFrame) -> DataFrame:
+    """df, which is checkpointed, with a broadcast hint if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], budget_share: float, max_epochs: float) -> DataFrame:
     """For each row (source, source_size, n) its target; weights repeat over the sources in code point order, null last."""
     n, everyone = len(weights), Window.partitionBy()
@@ -87,11 +94,11 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget_share: fl
     units = dealt.join(ends, dealt["source"].eqNullSafe(ends["_mx_at"]) & (dealt["bucket"] == ends["_mx_bucket"]))
     units = units.groupBy("source", "bucket", "u", "left").agg(F.sum("size").cast("long").alias("size"))
     more = units.groupBy("source", "bucket").applyInPandas(_fill, "source string, bucket long, u double")
-    more = more.select(F.col("source").alias("_mx_m"), F.col("u").alias("_mx_mu"), F.lit(1).alias("_mx_more"))
+    more = checkpointed(more.select(F.col("source").alias("_mx_m"), F.col("u").alias("_mx_mu"), F.lit(1).alias("_mx_more")))
 
-    at = own.join(shares, own["_mx_of"].eqNullSafe(shares["_mx_source"])).withColumn("_mx_in", F.floor(F.col("_mx_u") * F.col("_mx_buckets")))
-    at = at.join(states.drop("left"), F.col("_mx_of").eqNullSafe(F.col("_mx_at")) & (F.col("_mx_in") == F.col("_mx_bucket")), "left")
-    at = at.join(more, F.col("_mx_of").eqNullSafe(F.col("_mx_m")) & (F.col("_mx_u") == F.col("_mx_mu")), "left")
+    at = own.join(_if_small(shares), own["_mx_of"].eqNullSafe(shares["_mx_source"])).withColumn("_mx_in", F.floor(F.col("_mx_u") * F.col("_mx_buckets")))
+    at = at.join(_if_small(states.drop("left")), F.col("_mx_of").eqNullSafe(F.col("_mx_at")) & (F.col("_mx_in") == F.col("_mx_bucket")), "left")
+    at = at.join(_if_small(more), F.col("_mx_of").eqNullSafe(F.col("_mx_m")) & (F.col("_mx_u") == F.col("_mx_mu")), "left")
     once_more = F.when(F.col("_mx_full") | F.col("_mx_more").isNotNull(), 1).otherwise(0)
     return at.select(*docs.columns, "_mx_size", "_mx_source_size", "_mx_target", (F.col("_mx_whole") + once_more).cast("int").alias("_mx_times"))
 
