@@ -36,12 +36,19 @@ SPELLINGS = [
     (" v3 ", " version 3 "),
     ("http ", "https "),
 ]
+#: Words after "copyright" that continue a sentence, where a line happens to begin with it.
+CONTINUED = (
+    r"notices?|holders?|owners?|ownership|laws?|interests?|licen[cs]es?|permissions?|statements?|protections?|treat(?:y|ies)|disclaimers?|rights?|acts?|claims?|infringements?|"
+    r"information|material|resulting|applies|the (?:software|library|work|program)|and|or|on|in|to|is|as|of|for|from|under|with|that|which|shall|may|must"
+)
+#: A notice names a year, sign or holder on its line.
+NOTICE = rf"(?m)^[\s/*#;-]*(?:copyright\b(?=:?[ \t]*[^\s,.;:/\"')])(?!:?[ \t]+(?:{CONTINUED})\b)|\(c\)|©)[^\n]*$"
 
 
 def normalised_lines(text: Column) -> Column:
-    """The lines of a text in canonical form, blank and copyright lines left out."""
+    """The lines of a text in canonical form, blank lines and copyright notices left out."""
     low = F.lower(text)
-    plain = F.regexp_replace(low, r"(?m)^[\s/*#;-]*(?:copyright\b|\(c\)|©)[^\n]*$", "")
+    plain = F.regexp_replace(low, NOTICE, "")
     plain = F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " ")
     for one, other in SPELLINGS:
         plain = F.replace(plain, F.lit(one), F.lit(other))

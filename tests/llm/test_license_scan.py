@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from keyweave.llm import license_scan as ls
@@ -54,3 +56,24 @@ def test_own_list_and_odd_rows(spark, docs, empty):
 def test_plan_has_no_python(docs):
     plan = ls.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def wrapped(text, width, mark=""):
+    lines = [textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False) or [""] for p in text.split("\n")]
+    return "\n".join(mark + x for p in lines for x in p)
+
+
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_every_known_text_is_found_at_any_width(spark, mark):
+    # at some width each word of a text begins a line, also "copyright"
+    rows = [(f"{name}@{w}", wrapped(t, w, mark)) for name, text in KNOWN.items() for t in (text, text.upper()) for w in (1, 20, 40, *range(60, 101))]
+    got = ls.scan(spark.createDataFrame(rows, "name string, text string"), id_col="name").collect()
+    assert [r["name"] for r in got if r["license"] != r["name"].split("#")[0].split("@")[0]] == []
+
+
+@pytest.mark.parametrize(
+    "notice",
+    ["Copyright (c) 2020 Someone", "Copyright 2020 Someone", "COPYRIGHT: 2020, Someone", "Copyright © Someone", "Copyright by Someone", "copyright someone", "Copyright The Authors", "Copyright <year> <holder>", "// Copyright [yyyy] [name]", "(c) Someone", "© 2020"],
+)
+def test_notices_of_copyright_are_left_out(spark, notice):
+    assert found(spark, f"MIT License\n\n{notice}\n\n" + KNOWN["MIT"])[0] == "MIT"
