@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.functions.cols import has_attachment_point, skeleton
-from keyweave.functions.similarity import candidate_similarity
+from keyweave.functions import chem
+from keyweave.functions.cols import has_attachment_point, norm_name, skeleton
+from keyweave.functions.similarity import candidate_similarity, tanimoto
+from keyweave.operators.lookup import first_k, fuzzy_top_n
 
 #: Catalogs in order of priority.
 SOURCES = ("chebi", "comptox", "pubchem", "zeropm", "chembl")
@@ -45,6 +47,10 @@ DISPATCH = {
     "dtxsid": ("dtxsid", {"comptox": "dtxsid", "chebi": "inchikey", "pubchem": "inchikey", "zeropm": "inchikey", "chembl": "inchikey"}),
     "formula": ("formula", {"chebi": "formula", "comptox": "formula", "pubchem": "formula"}),
 }
+#: Which catalogs use synonyms only where no name is equal; the others add them after the names.
+SYNONYMS_LAST = ("chebi", "comptox")
+#: Which catalogs take a second, canonical structure, a shared skeleton, a similar fingerprint.
+CANONICAL, SKELETON, SIMILAR = ("comptox", "pubchem"), ("comptox", "pubchem", "chebi"), ("chembl", "pubchem")
 
 
 @dataclass(frozen=True)
@@ -58,6 +64,10 @@ class ResolverConfig:
     query_weight: float = 0.5
     anchor_window: float = 0.05
     alternatives: bool = False
+    fuzzy: bool = False
+    fuzzy_cutoff: float = 80.0
+    similarity_threshold: float = 0.0
+    inchikey_skeleton: bool = False
     sources: tuple[str, ...] = field(default=SOURCES)
 
     def __post_init__(self) -> None:
@@ -215,14 +225,21 @@ def resolve(queries: DataFrame, pool: DataFrame, config: ResolverConfig = Resolv
 def pool(queries: DataFrame, catalogs: dict[str, DataFrame], kind: str, config: ResolverConfig = ResolverConfig()) -> DataFrame:
     """Candidates for queries (q_idx, query) from every catalog by the keys of DISPATCH, k per source at most.
 
-    A catalog has the columns of RECORD, cas and id. Names are compared without case. Where a
-    catalog has no key of the query's kind, the structure key that the others found leads to it.
+    A catalog has the columns of RECORD, cas and id. Names and synonyms are compared without case.
+    Where a catalog has no key of the query's kind, the structure key that the others found leads to
+    it. A structure that a catalog doesn't have is looked up again in canonical form, where a
+    structure backend is installed. Queries that nothing answers are widened, if the config says so:
+    names to similar ones, structures to similar fingerprints, keys to their skeleton.
     """
     method, keys = DISPATCH[kind]
     direct = {s: c for s, c in keys.items() if s in catalogs and c == kind}
     parts = []
     for source, column in direct.items():
-        parts.append(_candidates(queries.select("q_idx", "query", F.col("query").alias("_key")), catalogs[source], source, column, method, config))
+        keyed = queries.select("q_idx", "query", F.col("query").alias("_key"))
+        parts.append(_candidates(keyed, catalogs[source], source, column, method, config))
+        if kind == "smiles" and source in CANONICAL and chem.available():
+            again = keyed.join(parts[-1].select("q_idx"), "q_idx", "left_anti").withColumn("_key", chem.normalise_structure("query")["canonical_smiles"])
+            parts.append(_candidates(again, catalogs[source], source, column, method, config))
     for source, column in keys.items():
         if source in catalogs and source not in direct and parts:
             # the first structure that a source of higher priority knows
@@ -234,6 +251,20 @@ def pool(queries: DataFrame, catalogs: dict[str, DataFrame], kind: str, config:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    pending = queries.select("q_idx", "query").join(out.select("q_idx"), "q_idx", "left_anti")
+    wider = []
+    if kind == "name" and config.fuzzy:
+        wider = [_similar_names(pending, c, s, config) for s, c in catalogs.items() if s in keys]
+    elif kind == "inchikey" and config.inchikey_skeleton:
+        wider = [_by_skeleton(pending, catalogs[s], s) for s in SKELETON if s in catalogs]
+    elif kind == "smiles" and config.similarity_threshold > 0 and chem.available():
+        wider = [_by_fingerprint(pending, catalogs[s], s, config) for s in SIMILAR if s in catalogs]
+    for p in wider:
+        out = out.unionByName(p)
+    if kind == "smiles" and wider:
+        # a query's candidates share the score of the most similar one
+        best = F.max("query_match_score").over(Window.partitionBy("q_idx"))
+        out = out.withColumn("query_match_score", F.when(F.col("match_method") == "tanimoto", best).otherwise(F.col("query_match_score")))
     place = Window.partitionBy("q_idx").orderBy(priority(F.col("source")), "origin_rank")
     return out.withColumn("pool_pos", F.row_number().over(place) - 1)
 
@@ -242,12 +273,67 @@ def _candidates(keyed: DataFrame, catalog: DataFrame, source: str, column: str,
     fold = F.lower if column == "name" else (lambda c: c)
     if column == "cas":
         right = catalog.withColumn("_on", F.explode("cas"))
+    elif column == "name":
+        right = _named(catalog).withColumn("_on", F.col("_name"))
     else:
         right = catalog.withColumn("_on", fold(F.col(column)))
     met = keyed.withColumn("_key", fold(F.col("_key"))).join(right, F.col("_key") == F.col("_on")).drop("_on")
     first = [F.desc("_complete"), "id"] if method == "formula" else ["id"]
+    if column == "name":
+        first = ["_via", "id"]
+        if source in SYNONYMS_LAST:
+            met = met.withColumn("_least", F.min("_via").over(Window.partitionBy("q_idx"))).where("_via = _least")
     met = met.withColumn("_complete", completeness())
     rank = F.row_number().over(Window.partitionBy("q_idx").orderBy(*first)) - 1
     score = F.col("_complete") if method == "formula" else F.lit(1.0)
     ranked = met.withColumn("origin_rank", rank).where(F.col("origin_rank") < config.top_k_per_source)
     return ranked.select("q_idx", "query", F.lit(source).alias("source"), "origin_rank", F.lit(method).alias("match_method"), score.alias("query_match_score"), *RECORD, "cas")
+
+
+def _named(catalog: DataFrame, iupac: bool = False) -> DataFrame:
+    """A catalog's rows once for each different name in lower case: _via 0 for the name, 1 for synonyms, 2 for the IUPAC name."""
+    clean = lambda via, names: F.transform(names, lambda n: F.struct(F.lit(via).alias("via"), F.lower(n).alias("name")))
+    synonyms = F.transform(F.split(F.coalesce(F.col("synonyms").cast("string"), F.lit("")), ";"), lambda n: F.trim(n))
+    every = [clean(0, F.array("name")), clean(1, synonyms)] + ([clean(2, F.array("iupac_name"))] if iupac else [])
+    held = F.filter(F.concat(*every), lambda n: n["name"].isNotNull() & ((n["via"] == 0) | (n["name"] != "")))
+    # of equal names the first
+    once = F.filter(held, lambda n, i: F.array_position(F.transform(held, lambda x: x["name"]), n["name"]) == i + 1)
+    return catalog.withColumn("_n", F.explode(once)).withColumn("_via", F.col("_n.via")).withColumn("_name", F.col("_n.name")).drop("_n")
+
+
+def _tagged(found: DataFrame, source: str, method: str, score: Column) -> DataFrame:
+    return found.select("q_idx", "query", F.lit(source).alias("source"), (F.col("rank") - 1).alias("origin_rank"), F.lit(method).alias("match_method"), score.alias("query_match_score"), *RECORD, "cas")
+
+
+def _similar_names(pending: DataFrame, catalog: DataFrame, source: str, config: ResolverConfig) -> DataFrame:
+    """Rows of which a name reaches the cutoff; zeropm gives its most similar one, the others rows that contain the normalised query."""
+    named = _named(catalog, iupac=True)
+    near = fuzzy_top_n(pending, named.select("_name"), "query", "_name", config.fuzzy_cutoff, None, F.lower).select("query", F.col("name").alias("_name"), "score")
+    met = pending.join(near, "query").join(named, "_name")
+    by_row = Window.partitionBy("q_idx", "id")
+    met = met.withColumn("_best", F.max("score").over(by_row)).where("_via < 2")
+    if source != "zeropm":
+        met = met.where(F.contains(F.col("_name"), norm_name(F.col("query"))))
+    met = met.withColumn("_nth", F.row_number().over(by_row.orderBy("_via", F.desc("score"), "_name"))).where("_nth = 1")
+    if source in SYNONYMS_LAST:
+        met = met.withColumn("_least", F.min("_via").over(Window.partitionBy("q_idx"))).where("_via = _least")
+    order, k = ([F.desc("_best"), "id"], 1) if source == "zeropm" else (["_via", "id"], config.top_k_per_source)
+    return _tagged(first_k(met, ["q_idx"], order, k), source, "fuzzy_name", F.col("_best") / 100)
+
+
+def _by_skeleton(pending: DataFrame, catalog: DataFrame, source: str) -> DataFrame:
+    """The first row with the connectivity of the key."""
+    met = pending.withColumn("_skeleton", skeleton(F.col("query"))).join(catalog.withColumn("_skeleton", skeleton(F.col("inchikey"))), "_skeleton")
+    return _tagged(first_k(met, ["q_idx"], ["id"], 1), source, "inchikey_skeleton", F.lit(1.0))
+
+
+def _by_fingerprint(pending: DataFrame, catalog: DataFrame, source: str, config: ResolverConfig, salts: int = 16) -> DataFrame:
+    """The row with the most similar fingerprint at or above the threshold: an equi-join on (bit count, salt), as in tanimoto_top_k."""
+    t = config.similarity_threshold
+    ones = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.bit_count(x))
+    left = pending.withColumn("_a", chem.morgan_bits("query")).withColumn("_n", ones(F.col("_a"))).where("_n > 0")
+    counts = F.sequence(F.ceil(F.col("_n") * t - 1e-9).cast("int"), F.floor(F.col("_n") / t + 1e-9).cast("int"))
+    left = left.where(F.lit(t <= 1)).withColumn("_count", F.explode(counts)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = catalog.withColumn("_b", chem.morgan_bits("smiles")).withColumn("_count", ones(F.col("_b"))).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    met = left.join(right, ["_count", "_salt"]).withColumn("_score", tanimoto(F.col("_a"), F.col("_b"))).where(F.col("_score") >= t)
+    return _tagged(first_k(met, ["q_idx"], [F.desc("_score"), "id"], 1), source, "tanimoto", F.col("_score"))

@@ -121,6 +121,50 @@ def test_group_structures_are_dropped_unless_asked_for(spark, catalogs):
     assert [r["smiles"] for r in rs.resolve(asked, rs.pool(asked, catalogs, "smiles")).collect()] == ["*CC*"]
 
 
+
+def _pool_of(spark, query, catalogs, kind, **settings):
+    asked = spark.createDataFrame([(7, query)], "q_idx bigint, query string")
+    found = rs.pool(asked, catalogs, kind, rs.ResolverConfig(**settings)).orderBy("pool_pos").collect()
+    return [(r["source"], r["match_method"], round(r["query_match_score"], 4), r["name"]) for r in found]
+
+
+def test_names_fall_back_to_synonyms(spark):
+    both = [{"name": "aspirin", "synonyms": "ASA; aspirin"}, {"name": "asa", "synonyms": "x;ASA"}, {"name": "other", "synonyms": "Asa"}]
+    held = {"chebi": catalog(spark, *both), "pubchem": catalog(spark, *both)}
+    assert _pool_of(spark, "ASA", held, "name") == [("chebi", "exact_name", 1.0, "asa"), *[("pubchem", "exact_name", 1.0, n) for n in ("asa", "aspirin", "other")]]
+    assert [x[::3] for x in _pool_of(spark, "X", held, "name")] == [("chebi", "asa"), ("pubchem", "asa")]
+
+
+def test_names_are_widened_if_asked(spark):
+    rows_ = [{"name": "acetylsalicylic acid", "iupac_name": None}, {"name": "aspirin"}, {"name": "aspirins", "iupac_name": "aspirin x"}]
+    held = {s: catalog(spark, *rows_) for s in ("chebi", "zeropm")}
+    assert _pool_of(spark, "asprin", held, "name") == []
+    assert _pool_of(spark, "asprin", held, "name", fuzzy=True) == [("zeropm", "fuzzy_name", round(12 / 13, 4), "aspirin")]
+    assert _pool_of(spark, "spirin", held, "name", fuzzy=True) == [("chebi", "fuzzy_name", round(12 / 13, 4), "aspirin"), ("chebi", "fuzzy_name", round(12 / 14, 4), "aspirins"), ("zeropm", "fuzzy_name", round(12 / 13, 4), "aspirin")]
+    assert {x[1] for x in _pool_of(spark, "aspirin", held, "name", fuzzy=True)} == {"exact_name"}
+
+
+def test_keys_fall_back_to_the_skeleton_if_asked(spark, catalogs):
+    key = ASPIRIN["inchikey"][:14] + "-AAAAAAAAAA-N"
+    assert _pool_of(spark, key, catalogs, "inchikey") == []
+    assert [x[:3] for x in _pool_of(spark, key, catalogs, "inchikey", inchikey_skeleton=True)] == [(s, "inchikey_skeleton", 1.0) for s in ("chebi", "comptox", "pubchem")]
+
+
+def test_structures_fall_back_to_canonical_and_similar_ones(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # a stand-in for the structure backend: lower case is canonical, each letter a bit
+    monkeypatch.setattr(rs.chem, "available", lambda: True)
+    monkeypatch.setattr(rs.chem, "normalise_structure", lambda c: F.struct(F.upper(F.col(c)).alias("canonical_smiles")))
+    bits = lambda c: F.array(F.expr(f"aggregate(array_distinct(split(upper({c}), '')), 0L, (s, x) -> s | shiftleft(1L, ascii(x) % 64))"))
+    monkeypatch.setattr(rs.chem, "morgan_bits", bits)
+    held = {s: catalog(spark, {"name": "one", "smiles": "CNO"}, {"name": "two", "smiles": "CNOPS"}, {"name": "far", "smiles": "F"}) for s in ("comptox", "pubchem", "chembl")}
+    assert _pool_of(spark, "cno", held, "smiles") == [(s, "exact_smiles", 1.0, "one") for s in ("comptox", "pubchem")]
+    assert _pool_of(spark, "CNOP", held, "smiles") == []
+    assert _pool_of(spark, "CNOP", held, "smiles", similarity_threshold=0.6) == [(s, "tanimoto", 0.8, "two") for s in ("pubchem", "chembl")]
+    assert _pool_of(spark, "CNOP", held, "smiles", similarity_threshold=0.9) == []
+
+
 def test_resolve_does_not_depend_on_partitions(spark, catalogs):
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(["aspirin", "ethanol", "x"])], "q_idx bigint, query string")
     want = None
