@@ -334,3 +334,33 @@ def test_rest(spark, tmp_path):
     settings = rest.Settings(str(tmp_path / "s.json"))
     settings.set_key("cas", "k")
     assert settings.key("cas") == "k" and settings.services() == ["cas"] and settings.remove_key("cas") and not settings.remove_key("cas")
+
+
+def test_two_hops_over_every_part(spark):
+    from keyweave.plans import resolve_queries as rq
+
+    sf = "/root/testdata/sf0.001"
+    held = {s: c.select("id", "inchikey", "dtxsid").collect() for s, c in rq.catalogs(spark, sf).items()}
+    parts = [r["p_partkey"] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()]
+    want = {}
+    for p in parts:
+        first = [r["inchikey"] for r in held["comptox"] if r["dtxsid"] == f"D{p}"]
+        want[p] = sorted(["comptox"] * len(first) + [s for s in held if s != "comptox" for _ in [r for r in held[s] if first and r["inchikey"] == first[0]][:5]])
+    asked = spark.createDataFrame([(p, f"D{p}") for p in parts], "q_idx bigint, query string")
+    got = {p: [] for p in parts}
+    for r in rs.pool(asked, rq.catalogs(spark, sf), "dtxsid").collect():
+        got[r["q_idx"]].append(r["source"])
+    assert {p: sorted(x) for p, x in got.items()} == want and any(want[p] for p in parts if p % 4)
+
+
+def test_exact_then_fuzzy_over_every_part(spark):
+    from keyweave.functions.similarity import _indel
+
+    names = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().collect()]
+    keys = sorted({*names, *(n[0] + n[2:] for n in names), "zzzznosuchname"})
+    want = set()
+    for q in keys:
+        near = sorted((-_indel(q, n), n) for n in names if _indel(q, n) >= 80)[:5]
+        want |= {(q, q, "exact_name")} if q in names else {(q, n, "fuzzy_name") for _, n in near}
+    got = lookup.exact_then_fuzzy(spark.createDataFrame([(k,) for k in keys], "query string"), spark.createDataFrame([(n,) for n in names], "p_name string"), "query", "p_name", norm_name)
+    assert {(r["query"], r["name"], r["match_method"]) for r in got.collect()} == want
