@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.llm.common import text_or_empty
-from keyweave.llm.license_texts import KNOWN
+from keyweave.llm.license_texts import KNOWN, WHOLE
 
 #: Most known texts that a scan takes; they are broadcast.
 MAX_KNOWN = 2_000
@@ -39,10 +39,12 @@ SPELLINGS = [
 #: Words after "copyright" that continue a sentence, where a line happens to begin with it.
 CONTINUED = (
     r"notices?|holders?|owners?|ownership|laws?|interests?|licen[cs]es?|permissions?|statements?|protections?|treat(?:y|ies)|disclaimers?|rights?|acts?|claims?|infringements?|"
-    r"information|material|resulting|applies|the (?:software|library|work|program)|and|or|on|in|to|is|as|of|for|from|under|with|that|which|shall|may|must"
+    r"information|material|resulting|applies|the[\s/*#;-]+(?:software|library|work|program)|and|or|on|in|to|is|as|of|for|from|under|with|that|which|shall|may|must|are|was|were|has|have|does|can|will|if|when|where|but|than|not|at|over|any|such|this|these|those|other"
 )
+#: Words after "(c)" where it counts the items of a list in a known text.
+LISTED = r"you must|the licenses granted|representations|under patent claims".replace(" ", r"[\s/*#;-]+")
 #: A notice names a year, sign or holder on its line.
-NOTICE = rf"(?m)^[\s/*#;-]*(?:copyright\b(?=:?[ \t]*[^\s,.;:/\"')])(?!:?[ \t]+(?:{CONTINUED})\b)|\(c\)|©)[^\n]*$"
+NOTICE = rf"(?m)^[\s/*#;-]*(?:copyright\b(?!-)(?=:?[ \t]*[^\s,.;:/\"')])(?!:?[ \t]+(?:{CONTINUED})\b)|\(c\)(?![\s/*#;-]+(?:{LISTED})\b)|©)[^\n]*$"
 
 
 def normalised_lines(text: Column) -> Column:
@@ -61,14 +63,17 @@ def digest(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """license, digest, chars (of the canonical form). Of texts that are equal in canonical form the first name stays."""
+    """license, digest, chars (of the canonical form); by default also those of WHOLE. Of texts that are equal in canonical form the first name stays."""
+    whole = WHOLE if known is None else {}
     known = KNOWN if known is None else known
     if len(known) > MAX_KNOWN:
         raise ValueError(f"{len(known)} known texts; a scan takes {MAX_KNOWN}")
     rows = spark.createDataFrame([(i, *x) for i, x in enumerate(known.items())], "at int, name string, text string")
     each = rows.select("at", F.regexp_replace("name", "#.*", "").alias("license"), normalised_lines(F.col("text")).alias("lines"))
     each = each.select("at", "license", digest(F.col("lines")).alias("digest"), F.length(F.array_join("lines", " ")).alias("chars"))
-    return each.groupBy("digest").agg(F.min_by("license", "at").alias("license"), F.first("chars").alias("chars"))
+    return each.groupBy("digest").agg(F.min_by("license", "at").alias("license"), F.first("chars").alias("chars")).unionByName(
+        spark.createDataFrame([(d, n, c) for n, (d, c) in whole.items()], "digest string, license string, chars int")
+    )
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

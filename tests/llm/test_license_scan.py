@@ -1,9 +1,10 @@
 import textwrap
+from pathlib import Path
 
 import pytest
 
 from keyweave.llm import license_scan as ls
-from keyweave.llm.license_texts import KNOWN
+from keyweave.llm.license_texts import KNOWN, WHOLE
 
 MIT = KNOWN["MIT#titled"]
 
@@ -77,3 +78,19 @@ def test_every_known_text_is_found_at_any_width(spark, mark):
 )
 def test_notices_of_copyright_are_left_out(spark, notice):
     assert found(spark, f"MIT License\n\n{notice}\n\n" + KNOWN["MIT"])[0] == "MIT"
+
+
+#: Where Debian keeps the texts that WHOLE has digests of.
+FOLDER = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="no licence texts on this machine")
+@pytest.mark.parametrize("mark", ["", "# "])
+def test_long_texts_are_found_at_any_width(spark, mark):
+    files = {n: FOLDER / (n if "GPL" not in n else n.removesuffix(".0")) for n in WHOLE}
+    texts = {n: f.read_text() for n, f in files.items() if f.is_file()}
+    # real notices are left on one line
+    rows = [(f"{n}@{w}", wrapped(t, w, mark) if w else t) for n, t in texts.items() for w in (0, 100, 85)]
+    rows += [(f"{n}@{w}", "\n".join(x if "opyright (" in x or "opyright [" in x else wrapped(x, w, mark) for x in t.split("\n"))) for n, t in texts.items() for w in (1, 9, 20, 33, 40, 50, 60)]
+    got = ls.scan(spark.createDataFrame(rows, "name string, text string"), id_col="name").collect()
+    assert len(got) > 0 and [r["name"] for r in got if r["license"] != r["name"].split("@")[0]] == []
