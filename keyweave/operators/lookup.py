@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyweave.functions.similarity import indel_ratio, may_reach
+from keyweave.llm.common import checkpointed
 
 Fold = Callable[[Column], Column]
 
@@ -146,13 +147,18 @@ def tanimoto_top_k(queries: DataFrame, fingerprints: DataFrame, id_col: str, bit
 
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(node, ancestor) over any number of steps, each pair once."""
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(node, ancestor) AS (
-          SELECT {child}, {parent} FROM {{edges}}
-          UNION ALL SELECT u.node, e.{parent} FROM up u JOIN {{edges}} e ON u.ancestor = e.{child}
-        ) SELECT DISTINCT node, ancestor FROM up
-        """,
-        edges=edges,
-    )
+    """(node, ancestor) over any number of steps, each pair once; a node on a cycle is its own ancestor.
+
+    Round k joins the pairs that are exactly 2^k steps apart with all pairs found so far, so n steps
+    take about log2 n rounds, until one finds nothing new.
+    """
+    known = checkpointed(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
+    hop = known
+    while True:
+        step = hop.select("node", F.col("ancestor").alias("_via"))
+        further = known.select(F.col("node").alias("_via"), "ancestor")
+        new = checkpointed(step.join(further, "_via").select("node", "ancestor").distinct().join(known, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = checkpointed(known.unionByName(new))
+        hop = checkpointed(step.join(hop.select(F.col("node").alias("_via"), "ancestor"), "_via").select("node", "ancestor").distinct())

@@ -364,3 +364,21 @@ def test_exact_then_fuzzy_over_every_part(spark):
         want |= {(q, q, "exact_name")} if q in names else {(q, n, "fuzzy_name") for _, n in near}
     got = lookup.exact_then_fuzzy(spark.createDataFrame([(k,) for k in keys], "query string"), spark.createDataFrame([(n,) for n in names], "p_name string"), "query", "p_name", norm_name)
     assert {(r["query"], r["name"], r["match_method"]) for r in got.collect()} == want
+
+
+def test_closure_of_long_chains_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(130)] + [(1000, 1001), (1001, 1002), (1002, 1000), (2000, 1000), (7, 7), (5, 9), (5, 9), (3000, None)]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+    want = set()
+    for a in up:
+        seen, todo = set(), list(up[a])
+        while todo:
+            b = todo.pop()
+            if b not in seen:
+                seen.add(b)
+                todo += up.get(b, ())
+        want |= {(a, b) for b in seen}
+    got = lookup.closure(spark.createDataFrame(edges, "c bigint, p bigint"), "c", "p").collect()
+    assert len(got) == len(want) and {(r["node"], r["ancestor"]) for r in got} == want
