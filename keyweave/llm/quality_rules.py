@@ -57,7 +57,7 @@ def counts(text: str) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
-        sum(1 for x in lines if _ENDED.search(x[-8:])),
+        sum(1 for x in lines if _ENDED.search(x.rstrip()[-8:])),
         upper,
         data.count(b"!"),
         sum(1 for w in words if not w.isalpha() and any(s in w for s in _SYMBOLS)) if with_symbols else 0,

@@ -71,3 +71,8 @@ def test_odd_rows(spark, docs, empty):
     assert qr.judge(empty).count() == 0 and qr.keep(empty).columns == empty.columns
     df = spark.createDataFrame([(None, "a", 1), (1, None, 2), (1, None, 3)], "doc_id bigint, text string, n_words int")
     assert qr.judge(df).count() == 3 and qr.keep(df).count() == 0
+
+
+def test_padded_lines_are_ended():
+    at = qr.COUNTS.index("n_ended_lines")
+    assert [qr.counts(x)[at] for x in ("One line.", "One line." + " " * 20, "one line" + " " * 20, "One.\t\t\t\t\t\t\t\t\t\nTwo!" + " " * 8 + "\r\nthree")] == [1, 1, 0, 2]
