@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyweave.functions.similarity import indel_ratio, may_reach
-from keyweave.llm.common import checkpointed
+from keyweave.operators.durable import checkpointed
 
 Fold = Callable[[Column], Column]
 
