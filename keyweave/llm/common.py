@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyweave.operators.durable import checkpointed, fresh, remove_folder, shared_folder
+
+__all__ = ["WORD", "checkpointed", "fresh", "pieces", "read", "remove_folder", "shared_folder", "text_bytes", "text_or_empty", "word_count"]
+
 #: A word is a run of characters other than the six ASCII white space characters; ``bytes.split()`` gives the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,15 +25,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share; a folder of its own only where that is unset (tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyweave-"))
-    return df.checkpoint(eager=eager)
-
-
 def pieces(total_bytes: int, piece_bytes: int, least: int = 1) -> int:
     """How many pieces of about piece_bytes each; grows with the input without an upper bound."""
     return max(least, -(-int(total_bytes or 0) // piece_bytes))

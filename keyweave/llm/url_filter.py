@@ -4,21 +4,25 @@ A rule is a regular expression over ``host + path`` with the literal tokens that
 contain as whole tokens. Counting those tokens over the URLs (a count for each token of the rule
 list, nothing else) tells the rarest one of each rule, which becomes its only index entry. A URL's
 tokens fetch the candidate rules; only those, and the few rules without a usable token, run their
-regular expression. The work for a URL grows with its tokens, not with the rule list.
+regular expression, which is compiled the first time it is a candidate. The work for a URL, counting
+included, grows with its tokens, not with the rule list.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The rule list is shipped to each task; a longer one is refused, not cut.
-MAX_RULES = 500_000
+from keyweave.llm.common import checkpointed
+
+#: Rules that are broadcast at once; a longer list is worked off in as many passes over the URLs.
+PASS_RULES = 200_000
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PARTS = re.compile(r"([^/?#]*)([^?#]*)")
@@ -58,59 +62,101 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class RuleIndex:
+    """Rules by their rarest token; entries are plain values, (tier, length of the label, label, action, regex)."""
+
     def __init__(self, rules: Sequence[Rule], seen: dict[str, int]) -> None:
         self.by_token: dict[str, list[tuple]] = {}
         self.always: list[tuple] = []
         for rule in rules:
-            entry = (rule.tier, len(rule.label), rule.label, rule.action, re.compile(rule.regex, re.S))
+            entry = (rule.tier, len(rule.label), rule.label, rule.action, rule.regex)
             if rule.tokens:
                 rarest = min(rule.tokens, key=lambda t: (seen.get(t, 0), -len(t), t))
                 self.by_token.setdefault(rarest, []).append(entry)
             else:
                 self.always.append(entry)
 
-    def fits(self, host_path: str) -> list[tuple]:
-        found = [e for e in self.always if e[4].search(host_path)]
+
+class Matcher:
+    """Looks URLs up in an index; a rule's pattern is compiled when it first becomes a candidate."""
+
+    def __init__(self, by_token: dict[str, list[tuple]], always: list[tuple]) -> None:
+        self.by_token, self.always, self.compiled = by_token, always, {}
+
+    def _fits(self, entry: tuple, host_path: str) -> bool:
+        pattern = self.compiled.get(entry[4])
+        if pattern is None:
+            pattern = self.compiled[entry[4]] = re.compile(entry[4], re.S)
+        return pattern.search(host_path) is not None
+
+    def best(self, host_path: str) -> tuple | None:
+        """The fitting entry of the highest tier, longest label, last label."""
+        found = [e for e in self.always if self._fits(e, host_path)]
         for token in {*_TOKEN.findall(host_path)}:
-            found += [e for e in self.by_token.get(token, ()) if e[4].search(host_path)]
-        return found
+            found += [e for e in self.by_token.get(token, ()) if self._fits(e, host_path)]
+        return max(found, key=lambda e: e[:3], default=None)
 
 
 def token_counts(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url") -> dict[str, int]:
-    """How many URLs hold each token of the rules; at most one number for each token reaches the driver."""
-    known = sorted({t for r in rules for t in r.tokens})
+    """How many URLs hold each token of the rules, without case; at most one number for each token reaches the driver."""
+    tokens = {t for r in rules for t in r.tokens}
+    known = {t.translate(_LOWER) for t in tokens}
     if not known:
         return {}
-    tokens = F.regexp_extract_all(F.translate(F.col(url_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    wanted = F.array_intersect(tokens, F.array(*[F.lit(t.translate(_LOWER)) for t in known]))
-    counted = urls.select(F.explode(wanted).alias("token")).groupBy("token").count()
-    low = {r["token"]: r["count"] for r in counted.collect()}
-    return {t: low.get(t.translate(_LOWER), 0) for t in known}
+    shared = urls.sparkSession.sparkContext.broadcast(known)  # tokens of at most PASS_RULES rules
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = shared.value, Counter()
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                if url is not None:
+                    seen.update(wanted.intersection(_TOKEN.findall(url.translate(_LOWER))))
+        yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", named_tier: int = 1) -> DataFrame:
+    counted = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    low = {r["token"]: r["n"] for r in counted.collect()}
+    return {t: low.get(t.translate(_LOWER), 0) for t in tokens}
+
+
+_JUDGED = "id long, host string, path string, rule string, verdict string, pattern string, tier int"
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", named_tier: int = 1, pass_rules: int = PASS_RULES) -> DataFrame:
     """One row per page: its id, host, path, rule, verdict, pattern.
 
     rule is the label of the best fitting rule of named_tier or above, else null; pattern that of
     the best fitting one of any tier; verdict is the action of the best one, else default. Null ids
-    and repeated rows pass through as they are, and an empty table gives no rows.
+    and repeated rows pass through as they are, and an empty table gives no rows. Lists of more than
+    pass_rules rules take one pass over the URLs for each so many; the result is the same.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES}")
-    seen = token_counts(pages, rules, url_col)
-    out = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("pattern", pa.string())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(rules, seen)
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                best = max(index.fits(host + path), key=lambda e: e[:3], default=None)
-                named = best is not None and best[0] >= named_tier
-                for column, value in zip(rows, (host, path, best[2] if named else None, best[3] if best else default, best[2] if best else None)):
-                    column.append(value)
-            yield pa.record_batch([batch.column(0), *[pa.array(x, pa.string()) for x in rows]], schema=out)
-
-    judged = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, "id long, host string, path string, rule string, verdict string, pattern string")
-    return judged.withColumnRenamed("id", id_col)
+    out = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("pattern", pa.string()), ("tier", pa.int32())])
+
+    def one_pass(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            match = Matcher(*shared.value)
+            for batch in batches:
+                columns: list[list] = [[], [], [], [], [], []]
+                # of the passes so far: the best entry's label, action and tier
+                for url, pattern, action, tier in zip(*(batch.column(n).to_pylist() for n in ("url", "pattern", "verdict", "tier"))):
+                    host, path = split_url(url)
+                    best = match.best(host + path)
+                    if best is not None and (tier is None or best[:3] > (tier, len(pattern), pattern)):
+                        tier, pattern, action = best[0], best[2], best[3]
+                    rule = pattern if tier is not None and tier >= named_tier else None
+                    for column, value in zip(columns, (host, path, rule, action, pattern, tier)):
+                        column.append(value)
+                yield pa.record_batch([batch.column("id"), *[pa.array(x, t) for x, t in zip(columns, out.types[1:])]], schema=out)
+
+        return run
+
+    context = pages.sparkSession.sparkContext
+    named = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
+    judged, parts = None, [rules[i : i + pass_rules] for i in range(0, len(rules), pass_rules)] or [[]]
+    for part in parts:
+        index = RuleIndex(part, token_counts(pages, part, url_col))
+        shared = context.broadcast((index.by_token, index.always))
+        before = named.select("id", "url", F.lit(None).cast("string").alias("pattern"), F.lit(default).alias("verdict"), F.lit(None).cast("int").alias("tier")) if judged is None else judged
+        # host + path is all that the next pass needs of the URL
+        judged = before.mapInArrow(one_pass(shared), _JUDGED)
+        if len(parts) > 1:
+            judged = checkpointed(judged.withColumn("url", F.concat(F.lit("://"), "host", "path")))
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "pattern")

@@ -48,10 +48,30 @@ def test_many_random_rules(spark):
 
 def test_only_candidates_are_tried():
     rules = [uf.host_rule(f"site{i}.com", "/en/", "block") for i in range(1000)]
-    index = uf.RuleIndex(rules, {"com": 10_000, "en": 500})
+    index = uf.RuleIndex(rules, {"com": 10_000, "en": 500} | {f"example{i}": 500 for i in range(97)})
     assert not index.always and max(map(len, index.by_token.values())) == 1
 
 
+def test_a_long_list(spark):
+    """50,000 rules cost a URL no more than a few: only its own candidates are compiled and tried."""
+    rules = [uf.host_rule(f"site{i}.example{i % 97}.com", "/en/", "block") for i in range(50_000)] + url_rules()
+    index = uf.RuleIndex(rules, {"com": 10_000, "en": 500} | {f"example{i}": 500 for i in range(97)})
+    match = uf.Matcher(index.by_token, index.always)
+    assert match.best("www.site7.example7.com/en/1")[2] == "site7.example7.com/en/" and len(match.compiled) <= 2 + len(url_rules())
+    urls = [f"http://site{i}.example{i % 89}.com/en/{i}" for i in range(2_000)] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r["rule"] for r in uf.judge(pages, rules).collect()}
+    known = {r.label for r in rules}
+    want = {i: max((x for x in (f"site{i}.example{i % 89}.com/en/", "com/en/") if x in known), key=len) for i in range(2_000)}
+    assert {i: got[i] for i in range(2_000)} == want
+
+
+def test_more_passes_change_nothing(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id bigint, url string")
+    one, many = (sorted(map(str, uf.judge(pages, url_rules(), pass_rules=n).collect())) for n in (100, 3))
+    assert one == many
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(None, None), (1, "http://a.com/en/"), (1, "http://a.com/en/")], "page_id bigint, url string")
     assert sorted(str(tuple(r)) for r in uf.judge(pages, url_rules()).select("page_id", "rule").collect()) == ["(1, 'com/en/')", "(1, 'com/en/')", "(None, None)"]
