@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyweave.llm.common import checkpointed, text_or_empty
+from keyweave.llm.common import checkpointed, fresh, text_or_empty
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_caps_words", "n_bangs", "n_symbol_words"]
 _ENDED = re.compile(rb'[.!?:;"\')\]]\s*$|(?:\xe2\x80\x9d|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*$')
@@ -75,7 +75,8 @@ def measured(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
     """The carried columns (all by default) of each document and COUNTS under prefix. A null text has no words."""
     carried = docs.columns if carry is None else carry
     schema = T.StructType([*[docs.schema[c] for c in carried], *[T.StructField(prefix + n, T.LongType()) for n in COUNTS]])
-    return docs.select(*carried, text_or_empty(text_col).alias("_kw_text")).mapInArrow(lambda b: _count(b, schema.names), schema)
+    (text,) = fresh(carried, "_text")
+    return docs.select(*carried, text_or_empty(text_col).alias(text)).mapInArrow(lambda b: _count(b, schema.names), schema)
 
 
 def _between(value: Column, bad: Column, good: Column) -> Column:
@@ -83,7 +84,11 @@ def _between(value: Column, bad: Column, good: Column) -> Column:
 
 
 def votes(prefix: str = "") -> dict[str, Column]:
-    """Rule -> vote (1 good, -1 bad, 0 abstains), over the columns of measured()."""
+    """Rule -> vote (1 good, -1 bad, 0 abstains), over the columns of measured().
+
+    The thresholds are round numbers that prose of any language stays clear of (2.5 to 14 characters a
+    word, say) with a gap between good and bad in which a rule abstains; they weren't fitted to labels.
+    """
     c = lambda n: F.col(prefix + n)
     words = F.when(c("n_words") > 0, c("n_words"))
     lines = F.when(c("n_lines") > 0, c("n_lines"))
@@ -92,8 +97,8 @@ def votes(prefix: str = "") -> dict[str, Column]:
     length, caps, bangs = c("word_chars") / words, c("n_caps_words") / words, c("n_bangs") / words
     dup, ended = c("n_dup_lines") / lines, c("n_ended_lines") / lines
     return {
-        "symbols": _between(symbols, symbols > 0.1, symbols < 0.05),
-        "symbol_share": _between(marks, marks > 0.05, marks < 0.03),
+        # one rule, as both shares count the same characters and EM takes rules to be independent
+        "symbols": _between(symbols + marks, (symbols > 0.1) | (marks > 0.05), (symbols < 0.05) & (marks < 0.03)),
         "repeats": _between(repeats, repeats > 0.35, repeats < 0.2),
         "word_length": _between(length, (length < 2.5) | (length > 14), (length > 3) & (length < 10)),
         "capitals": _between(caps, caps > 0.3, caps < 0.15),
@@ -156,17 +161,19 @@ def keep(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
     """The rows of docs whose base rules pass and whose p_good >= least, all columns.
 
     Texts are measured twice, once for the fit and once for the verdict, so that they are never
-    shuffled and neither ids nor texts need to be unique.
+    shuffled and neither ids nor texts need to be unique. Columns of docs may have any names.
     """
     rules = votes()
     names = [f"vote_{n}" for n in rules]
     table = posteriors(measured(docs, text_col, []).select(*[v.cast("int").alias(f"vote_{n}") for n, v in rules.items()]), names)
-    own = {n: f"_kw_{n}" for n in names}
-    at = measured(docs, text_col, prefix="_kw_")
-    at = at.withColumns({own[f"vote_{n}"]: v.cast("int") for n, v in votes("_kw_").items()})
-    table = table.select(*[F.col(n).alias(f"_kw_of_{n}") for n in names], F.col("p_good").alias("_kw_p_good"))
-    same = [F.col(own[n]) == F.col(f"_kw_of_{n}") for n in names]
-    return at.where(~base_failed("_kw_")).join(F.broadcast(table.where(F.col("_kw_p_good") >= least)), same, "left_semi").select(*docs.columns)
+    mark = "_kw_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    at = measured(docs, text_col, prefix=mark)
+    at = at.withColumns({mark + f"vote_{n}": v.cast("int") for n, v in votes(mark).items()})
+    good = table.where(F.col("p_good") >= least).select(*[F.col(n).alias(f"{mark}of_{n}") for n in names])
+    same = [F.col(mark + n) == F.col(f"{mark}of_{n}") for n in names]
+    return at.where(~base_failed(mark)).join(F.broadcast(good), same, "left_semi").select(*docs.columns)
 
 
 def base_failed(prefix: str = "") -> Column:

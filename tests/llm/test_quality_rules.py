@@ -76,3 +76,10 @@ def test_odd_rows(spark, docs, empty):
 def test_padded_lines_are_ended():
     at = qr.COUNTS.index("n_ended_lines")
     assert [qr.counts(x)[at] for x in ("One line.", "One line." + " " * 20, "one line" + " " * 20, "One.\t\t\t\t\t\t\t\t\t\nTwo!" + " " * 8 + "\r\nthree")] == [1, 1, 0, 2]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame(labelled(), "doc_id bigint, text string, quality int").withColumns({"_kw_text": F.lit("x"), "_text": F.lit(1), "_kw_vote_symbols": F.lit(2), "vote_caps": F.lit(3)})
+    kept = qr.keep(df)
+    assert kept.columns == df.columns and kept.count() == qr.keep(df.select("doc_id", "text")).count()
+    assert [tuple(r) for r in kept.select("_kw_text", "_text", "_kw_vote_symbols").distinct().collect()] == [("x", 1, 2)]
