@@ -7,11 +7,14 @@ texts and roles are escaped reversibly, so the formatted string can be read back
 loss mask is a run-length code over the whole string.
 
 A conversation becomes one string, so its turns have to meet in one row; its size is bounded by
-what one string can hold (2 GB), not by the number of conversations.
+what one string can hold (2 GB; half a billion characters to read it back under the mask), not by the
+number of conversations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,15 +91,56 @@ def read_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_ZERO = "cast(0 as bigint)"
+
+
+def _running(xs: Column, of: Callable[[Column], Column]) -> Column:
+    """Sums of all elements up to each one."""
+    step = lambda s, x: F.struct((s["sum"] + of(x)).alias("sum"), F.array_append(s["all"], s["sum"] + of(x)).alias("all"))
+    return F.aggregate(xs, F.struct(F.expr(_ZERO).alias("sum"), F.expr("cast(array() as array<bigint>)").alias("all")), step, lambda s: s["all"])
+
+
+def _starts(chars: Column) -> Column:
+    """Where each of the lengths begins, if they stand side by side: sums in blocks of about the square root of their number, so that the work is not quadratic."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(chars))), F.lit(1)).cast("int")
+    blocks = F.when(F.size(chars) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / width).cast("int")), lambda b: F.slice(chars, b * width + 1, width)))
+    blocks = F.coalesce(blocks, F.expr("cast(array() as array<array<int>>)"))
+    sums = lambda bs: _running(bs, lambda b: F.aggregate(b, F.expr(_ZERO), lambda s, x: s + x))
+    within = lambda b, before: F.zip_with(_running(b, lambda x: x), b, lambda end, x: before + end - x)
+    placed = lambda bs, ends: F.flatten(F.transform(bs, lambda b, i: within(b, F.coalesce(F.get(ends, i - 1), F.expr(_ZERO)))))
+    return _let(blocks, lambda bs: _let(sums(bs), lambda ends: placed(bs, ends)))
+
+
+def under_mask(formatted: Column, mask_runs: Column) -> Column:
+    """The pieces of a formatted string that the loss mask covers, as array<string>, still escaped.
+
+    The string is cut in UTF-32, where a character's place follows from its number; in UTF-8 every cut
+    would count from the start.
+    """
+    starts = _let(F.transform(mask_runs, lambda r: r["chars"]), _starts)
+    placed = F.zip_with(mask_runs, starts, lambda r, at: F.struct(at.alias("at"), r["chars"].alias("chars"), r["loss"].alias("loss")))
+    cut = lambda wide, p: F.decode(F.substr(wide, (4 * p["at"] + 1).cast("int"), 4 * p["chars"]), "UTF-32")
+    return _let(F.encode(formatted, "UTF-32"), lambda wide: F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: cut(wide, p)))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of format_chat's output finds: turns and the text under the loss mask."""
-    back = formatted.select("conv_id", read_chat(F.col("formatted")).alias("turns"), F.filter("mask_runs", lambda r, i: i % 3 == 1).alias("body_runs"), F.length("formatted").cast("long").alias("formatted_chars"))
-    under = F.array_join(F.zip_with("turns", "body_runs", lambda t, r: F.when(r["loss"], t["text"]).otherwise("")), "")
+    """What a reader of format_chat's output finds: its turns, and the text that the mask's runs cover."""
+    back = formatted.select(
+        "conv_id",
+        read_chat(F.col("formatted")).alias("turns"),
+        F.array_join(F.transform(under_mask(F.col("formatted"), F.col("mask_runs")), unescape), "").alias("under"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(under).cast("long").alias("loss_chars"),
-        F.sha2(under, 256).alias("loss_sha256"),
+        F.length("under").cast("long").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"),
         "formatted_chars",
     )

@@ -54,6 +54,22 @@ def test_digests(spark):
     assert (got[3]["n_turns"], got[3]["turns_sha256"], got[3]["loss_chars"]) == (1, hashlib.sha256(turns.encode()).hexdigest(), 0)
 
 
+def test_loss_text_is_read_through_the_mask(spark):
+    formatted = cf.format_chat(table(spark))
+    # a mask that is moved by one character reads another text
+    moved = formatted.withColumn("mask_runs", F.transform("mask_runs", lambda r, i: F.struct((r["chars"] + F.when(i == 0, 1).otherwise(0)).cast("int").alias("chars"), r["loss"].alias("loss"))))
+    right, wrong = ({r["conv_id"]: r["loss_sha256"] for r in cf.digests(x).collect()} for x in (formatted, moved))
+    assert right[1] != wrong[1] and right[3] == wrong[3]
+
+
+def test_long_conversation(spark):
+    """Thousands of turns in a row: each assistant text once, in order."""
+    rows = spark.range(6_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é🙂<|"), F.col("id").cast("string")).alias("text"))
+    row = cf.digests(cf.format_chat(rows)).first()
+    loss = "".join(f"é🙂<|{i}" for i in range(6_000) if i % 3)
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (6_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_empty(spark):
     assert cf.digests(cf.format_chat(table(spark).limit(0))).count() == 0
 
