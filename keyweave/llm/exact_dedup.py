@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import text_or_empty
+from keyweave.llm.common import fresh, text_or_empty
 
 #: Stands for a null id: below every other one.
 NO_ID = -(2**63)
@@ -227,11 +227,15 @@ def groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text
 
 
 def deduplicate(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that own their text, all columns. Rows that repeat the owner's id and text stay once each as they are told apart by nothing: only one of them is returned."""
+    """The rows of docs that own their text, all columns, whatever their names.
+
+    Of rows that repeat the owner's id and text, which nothing tells apart, only one is returned.
+    """
     text = text_or_empty(text_col)
-    own = owners(docs, keep, id_col, text_col).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
-    at = docs.withColumn("_sha_of", F.sha2(text, 256))
-    kept = at.join(own, (at["_sha_of"] == own["_sha"]) & at[id_col].cast("long").eqNullSafe(own["_keep"])).drop("_sha", "_keep")
-    alone = kept.where("_size = 1").drop("_sha_of", "_size")
-    shared = kept.where("_size > 1").dropDuplicates(["_sha_of"]).drop("_sha_of", "_size")
+    sha_of, sha, owner, size = fresh(docs.columns, "_sha_of", "_sha", "_keep", "_size")
+    own = owners(docs, keep, id_col, text_col).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(owner), F.col("group_size").alias(size))
+    at = docs.withColumn(sha_of, F.sha2(text, 256))
+    kept = at.join(own, (F.col(sha_of) == F.col(sha)) & docs[id_col].cast("long").eqNullSafe(F.col(owner)))
+    alone = kept.where(F.col(size) == 1).select(*docs.columns)
+    shared = kept.where(F.col(size) > 1).dropDuplicates([sha_of]).select(*docs.columns)
     return alone.unionByName(shared)

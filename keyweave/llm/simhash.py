@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import checkpointed, text_or_empty
+from keyweave.llm.common import checkpointed, fresh, text_or_empty
 from keyweave.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -230,7 +230,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs whose id is their component's id, all columns; rows that repeat an id all stay or go together."""
+    """The rows of docs whose id is their component's id, all columns, whatever their names.
+
+    Rows that repeat an id all stay or go together. Rows without an id go where their component has
+    an id, and all stay where it has none, near copies included, as nothing names one of them.
+    """
     found = classes(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **settings)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_sh_id")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_sh_id"]), "left_semi")
+    (own,) = fresh(docs.columns, "_sh_id")
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay[own]), "left_semi")

@@ -50,3 +50,9 @@ def test_odd_rows(spark, empty):
     assert [tuple(r) for r in deduplicate(df, "largest").orderBy("doc_id").collect()] == [(1, "a", "s", 1), (3, "", "u", 1)]
     assert [r["keep_id"] for r in groups(df, "smallest").where("text_sha256 = sha2('a', 256)").collect()] == [None] * 3
     assert groups(empty).count() == 0 and deduplicate(empty).columns == empty.columns
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string").withColumns({n: F.lit(n) for n in ("_size", "_sha", "_SHA_OF", "_keep", "digest")})
+    got = deduplicate(df, "largest")
+    assert got.columns == df.columns and sorted((r["doc_id"], r["_size"], r["_keep"]) for r in got.collect()) == [(2, "_size", "_keep"), (3, "_size", "_keep")]
