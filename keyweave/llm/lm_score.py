@@ -3,10 +3,11 @@
 Words (after lower-casing A-Z) get a space in front and are spelt with the pieces of an existing
 vocabulary. The probability of a word is the sum over all its segmentations of the product of their
 piece probabilities, by a forward recursion in log space; a text is its words and one end mark, so its
-probability is their product. The vocabulary is taken as it is; only piece probabilities are estimated,
-from the words of all training documents: every distinct word's best segmentation counts with the
-word's frequency, first under the vocabulary's own order of pieces, then under the probabilities so
-far, ROUNDS times in all.
+probability is their product. The vocabulary is taken as it is. Its scores weight the segmentations
+where they are log probabilities; those of a vocabulary of merges are ranks, which only start the
+estimate. Piece probabilities are then re-estimated from the words of all training documents by expectation-
+maximisation: all segmentations of a word count with their probability under the weights so far,
+times the word's frequency (forward and backward over the lattice), ROUNDS times in all.
 
 Both this score and the base score (words with add-one smoothing) are sums over words, so each
 distinct word is scored once. Documents are dealt into blocks; a block sends its distinct words to the
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.llm.common import checkpointed, pieces, text_bytes, text_or_empty
-from keyweave.llm.vocabulary import Marginals, Viterbi, Vocabulary
+from keyweave.llm.vocabulary import Marginals, Vocabulary
 
 #: Text in a block, and distinct words that a counting task holds before it hands them on.
 BLOCK_BYTES, COUNTED = 8 << 20, 400_000
@@ -68,26 +69,24 @@ def _spelt(word: bytes) -> str:
     return " " + word.decode("utf-8", "replace")
 
 
-def piece_counts(words: DataFrame, vocabulary, weights: list[float]) -> dict[int, int]:
-    """How often the best segmentations of training words under weights use each piece; one number for each piece of the vocabulary reaches the driver."""
-    schema = pa.schema([("piece", pa.int32()), ("uses", pa.int64())])
+def piece_counts(words: DataFrame, vocabulary, weights: list[float]) -> dict[int, float]:
+    """How often each piece is expected in the segmentations of the training words under weights; one number for each piece of the vocabulary reaches the driver."""
+    schema = pa.schema([("piece", pa.int32()), ("uses", pa.float64())])
     shared = words.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(*vocabulary.value)
-        best, uses = Viterbi(known, shared.value), [0] * len(known.scores)
+        lattice = Marginals(Vocabulary(*vocabulary.value), shared.value)
+        uses = [0.0] * len(shared.value)
         for batch in batches:
-            for (_, ids), count in zip(best(map(_spelt, batch.column("word").to_pylist())), batch.column("count").to_pylist()):
-                for i in ids:
-                    uses[i] += count
+            lattice.expect(map(_spelt, batch.column("word").to_pylist()), batch.column("count").to_pylist(), uses)
         used = [i for i, n in enumerate(uses) if n]
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([uses[i] for i in used], pa.int64())], schema=schema)
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([uses[i] for i in used], pa.float64())], schema=schema)
 
-    counted = words.where("count > 0").mapInArrow(run, "piece int, uses long").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    counted = words.where("count > 0").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
     return {r["piece"]: r["uses"] for r in counted.collect()}
 
 
-def log_probabilities(uses: dict[int, int], size: int, ends: int) -> tuple[list[float], float]:
+def log_probabilities(uses: dict[int, float], size: int, ends: int) -> tuple[list[float], float]:
     """Natural log probability of each piece, and of the end mark, which share one distribution."""
     total = sum(uses.values()) + ends + SMOOTHING * (size + 1)
     return [math.log((uses.get(i, 0) + SMOOTHING) / total) for i in range(size)], math.log((ends + SMOOTHING) / total)
@@ -110,7 +109,8 @@ def score(docs: DataFrame, model_file: str, held_out, id_col: str = "doc_id", te
     totals = words.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
     ends = each.select("held_out").where("not held_out").count()
     train_tokens, distinct = (totals[0] or 0) + ends, (totals[1] or 0) + (ends > 0)
-    log_p, log_end = [-math.log(2 + i) for i in range(size)], 0.0  # pieces come in order of rank
+    first = Vocabulary(*vocabulary.value)
+    log_p, log_end = ([-math.log(2 + i) for i in range(size)] if first.by_merges else list(first.scores)), 0.0  # pieces of merges come in order of rank
     for _ in range(ROUNDS):
         log_p, log_end = log_probabilities(piece_counts(words, vocabulary, log_p), size, ends)
     shared = spark.sparkContext.broadcast(log_p)
