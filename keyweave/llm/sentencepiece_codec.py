@@ -6,13 +6,17 @@ segmentation of a text is that of its words. Each task sorts the distinct marked
 texts that it has not met before into a trie, walks it depth first, and reuses the forward scores
 of shared prefixes. Nothing is shuffled, memory is bounded by the chunk and the word cache.
 
-The scores of the pieces are read as those of a unigram model, as the library does for a model of
-that type. For a model built by merges they are ranks; ids can then differ from those of merging,
-decoding is exact either way.
+The ids are those of the model itself: of a unigram model the segmentation with the highest sum of
+scores, of a model of merges the one that merging gives (see vocabulary.Viterbi). One exception: a
+literal U+2581, which the library can't tell from a space, is spelt in bytes, so that every text
+decodes to itself.
+
+A word is held with ten bytes or so for each of its characters, however long it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -28,9 +32,19 @@ CHUNK_CHARS, CHUNK_IDS, REMEMBERED = 1 << 20, 1 << 20, 250_000
 _MARKED = re.compile(r" *[^ \n]+| +|\n")
 
 
-def _encode(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, at: int) -> Iterator[pa.RecordBatch]:
+#: What a worker process keeps for its next task: one model's trie and the pairs of pieces it has tried.
+_HELD: dict[str, Viterbi] = {}
+
+
+def _held(name: str, parts: tuple) -> Viterbi:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Viterbi(Vocabulary(*parts))
+    return _HELD[name]
+
+
+def _encode(batches: Iterable[pa.RecordBatch], best: Viterbi, at: int) -> Iterator[pa.RecordBatch]:
     known: dict[str, bytes] = {}
-    best = Viterbi(vocabulary)
     for batch in batches:
         first = 0
         while first < batch.num_rows:
@@ -61,9 +75,10 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     if vocabulary.crossing():
         raise ValueError("pieces cross word boundaries")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())  # a vocabulary file, however large docs is
+    name = hashlib.sha256(repr((vocabulary.pieces, vocabulary.scores)).encode()).hexdigest()
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(lambda b: _named(_encode(b, Vocabulary(*shared.value), at), schema.names), schema)
+    return docs.mapInArrow(lambda b: _named(_encode(b, _held(name, shared.value), at), schema.names), schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
