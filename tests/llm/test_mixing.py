@@ -47,8 +47,10 @@ def test_targets_and_taken(sources, share, epochs, bucket_rows):
         assert r["_mx_target"] == pytest.approx(want[r["source"]], rel=1e-9, abs=1e-9) and r["_mx_source_size"] == sizes[r["source"]]
         assert 0 <= r["_mx_times"] <= epochs
         taken[r["source"]] = taken.get(r["source"], 0) + r["_mx_size"] * r["_mx_times"]
+        assert r["source"] != "nothing" or r["_mx_times"] == 0
     for s, t in want.items():
-        assert abs(taken[s] - t) <= max(2, 0.02 * t), s
+        # half the smallest document left out, which matters where a bucket holds few
+        assert abs(taken[s] - t) <= max(2, 0.005 * t + 1, 150 if bucket_rows < 50 else 0), s
 
 
 def test_reruns_agree_and_the_seed_matters(sources):
@@ -69,3 +71,39 @@ def test_odd_rows(spark, empty):
     df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "a b", "s"), (None, None, None)], "doc_id bigint, text string, source string")
     rows = mixing.plan(df).collect()
     assert len(rows) == 4 and len({r["_mx_times"] for r in rows if r["doc_id"] == 1}) == 1
+
+
+def test_nearer_end_of_the_quota(spark):
+    """Few coarse documents: the quota is met from the nearer side."""
+    rows = [(i, "w " * n, "s") for i, n in enumerate([1000, 900, 800, 700])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for seed in range(8):
+        taken = sum(r["_mx_size"] * r["_mx_times"] for r in mixing.plan(df, budget_share=0.5, seed=seed).collect())
+        assert abs(taken - 1700) <= 350
+
+
+def test_empty_documents_and_caps(spark):
+    """Sources without words aren't taken; where whole epochs reach the cap, nothing goes beyond it."""
+    rows = [(1, "", "none"), (2, None, "none"), (3, "", "some"), (4, "a b", "some"), (5, "", "full")] + [(10 + i, "", "full") for i in range(5)] + [(20, "x", "full")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    planned = mixing.plan(df, budget_share=5, max_epochs=2, bucket_rows=1).collect()
+    assert max(r["_mx_times"] for r in planned) == 2 and {r["_mx_times"] for r in planned if r["source"] == "none"} == {0}
+    assert mixing.mix(df).where("source = 'none'").count() == 0
+
+
+def test_many_sources(spark):
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 700).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 13).cast("int")).alias("text"))
+    sizes = {}
+    for r in df.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"].split())
+    want = water_fill(sizes, (3, 1, 2), 1.5, 2)
+    for r in mixing.plan(df).collect():
+        assert r["_mx_target"] == pytest.approx(want[r["source"]], rel=1e-9, abs=1e-9)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s")], "doc_id bigint, text string, source string")
+    more = df.withColumns({n: F.lit("own") for n in ("_mx_size", "_mx_u", "_mx_source", "at", "_copy_", "_MX_times")})
+    planned = mixing.plan(more)
+    assert planned.columns == [*more.columns, *[mixing.prefix_of(more.columns) + c for c in mixing.ADDED]] and len(set(planned.columns)) == len(planned.columns)
+    assert mixing.mix(more).columns == more.columns and {r["_mx_size"] for r in mixing.mix(more).collect()} == {"own"}
