@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyweave.llm import chat_format, exact_dedup, license_scan, lm_score, mixing, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filter
 from keyweave.llm.common import read
+from keyweave.llm.license_texts import KNOWN, WHOLE
 
 #: Host rules of the URL query (host, path, action), and the patterns that decide where none of them fits.
 HOST_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -67,6 +68,9 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text_digest", "license", F.array_join("notices", ",").alias("notices"), F.size("notices").cast("long").alias("n_notices"))
 
 
+OP4_SQL = license_scan.scan_sql(KNOWN, WHOLE)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -157,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_license_scans": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_chat_formatting": OP7_SQL}
