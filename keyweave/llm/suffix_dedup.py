@@ -13,10 +13,9 @@ same minimizer form runs of about 14 windows that travel together.
    buckets. Runs of a minimizer that very many blocks share are sent window by window, dealt by
    the window's own hash, so that no bucket collects a hot passage.
 4. An index bucket takes its runs in the order of ids, batch by batch. A batch gets a suffix array: its
-   window positions, sorted. It is merge-scanned against each level of the index, then becomes a level
-   itself, and levels of equal size class merge, so there are logarithmically many. Positions are
-   sorted by the 64-bit fingerprint of the next LENGTH bytes, which puts equal ones side by side just
-   as the order of the bytes does; every match is verified on the bytes.
+   window positions in the order of the bytes that follow (LENGTH of them, as longer matches are runs
+   of such). It is merge-scanned against each level of the index for equal strings, then becomes a
+   level itself, and levels of equal size class merge, so there are logarithmically many.
 5. Blocks get back which windows of a run start in a smaller document, and cut their texts.
 
 Blocks and buckets have a bounded size, their number grows with the input.
@@ -173,17 +172,22 @@ def _send_minimizers(block: pa.Table, buckets: int) -> pa.Table:
 
 
 def _shared_minimizers(bucket: pa.Table, hot_blocks: int) -> pa.Table:
+    """To each block, which of its keys another block has too, and which very many have: one sort over the keys of all blocks."""
     each = [np.frombuffer(k, np.uint32) for k in bucket["keys"].to_pylist()]
-    keys = np.concatenate(each)
-    values, counts = np.unique(keys, return_counts=True)
-    shared, hot = values[counts > 1], values[counts >= hot_blocks]
-    rows = [(b, k[np.isin(k, shared, assume_unique=True)], k[np.isin(k, hot, assume_unique=True)]) for b, k in zip(bucket["block"].to_pylist(), each)]
-    rows = [r for r in rows if len(r[1])]
+    keys, blocks = np.concatenate(each), np.repeat(bucket["block"].to_numpy(), [len(k) for k in each])
+    order = np.argsort(keys, kind="stable")
+    at, _ = _split(order, keys[order])
+    times = np.empty(len(keys), np.int64)
+    times[order] = np.repeat(np.diff(at), np.diff(at))
+    some = times > 1
+    keys, blocks, hot = keys[some], blocks[some], times[some] >= hot_blocks
+    at, which = _split(blocks, blocks)  # the keys of a block stand side by side
+    spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
     return pa.table({
-        "block": pa.array([r[0] for r in rows], pa.int32()),
-        "bucket": pa.array([bucket["bucket"][0].as_py()] * len(rows), pa.int32()),
-        "shared": pa.array([r[1].tobytes() for r in rows], pa.binary()),
-        "hot": pa.array([r[2].tobytes() for r in rows], pa.binary()),
+        "block": pa.array(which.astype(np.int32)),
+        "bucket": pa.array([bucket["bucket"][0].as_py()] * len(which), pa.int32()),
+        "shared": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+        "hot": pa.array([keys[a:b][hot[a:b]].tobytes() for a, b in spans], pa.binary()),
     })
 
 
@@ -257,12 +261,21 @@ def _block_of(*tables: pa.Table) -> int:
     return next(t["block"][0].as_py() for t in tables if t.num_rows)
 
 
+def _strings_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes from each position, as strings of that size, which numpy orders as bytes."""
+    if not len(at):
+        return np.zeros(0, f"S{LENGTH}")
+    return np.ndarray((len(data) - LENGTH + 1,), f"S{LENGTH}", data, strides=(1,))[at]
+
+
 class SuffixArrayFamily:
-    """A logarithmic family of suffix arrays; batches come in ascending order of ids."""
+    """A logarithmic family of suffix arrays; batches come in ascending order of ids.
 
-    def __init__(self, base: int = int(_BASE)) -> None:
-        self.roller = Roller(base)
-        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # size class, fingerprints, positions, ids, bytes
+    A level is (size class, the distinct strings of its windows in order, the smallest id of each).
+    """
+
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]] | None = None) -> None:
+        self.levels = [] if levels is None else levels
 
     def add(self, strings: list[bytes], ids: np.ndarray) -> np.ndarray:
         """For each window of the strings, string by string: does it start under a smaller id, here or in earlier batches?"""
@@ -270,59 +283,39 @@ class SuffixArrayFamily:
         windows = np.array([len(s) - LENGTH + 1 for s in strings])
         begins = np.cumsum([0, *(len(s) for s in strings[:-1])])
         at = np.repeat(begins, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        own = np.repeat(ids, windows)
-        prints = self.roller(data, LENGTH)[at]
-        order = np.argsort(prints, kind="stable")  # the suffix array; ids ascend among equal ones
-        first, _ = _split(order, prints[order])
-        head, group = order[first[:-1]], np.repeat(np.arange(len(first) - 1), np.diff(first))
-        twins = np.flatnonzero(np.diff(group) == 0) + 1
-        self._verify(data, at[order[twins]], data, at[head[group[twins]]])
-        found, where, least = prints[head], at[head], own[head]
-        for _, known, positions, known_ids, text in self.levels:  # merge-scan
+        own, every = np.repeat(ids, windows), _strings_at(data, at)
+        order = np.argsort(every, kind="stable")  # the suffix array; ids ascend among equal strings
+        first, found = _split(order, every[order])
+        least, group = own[order[first[:-1]]], np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for _, known, known_ids in self.levels:  # merge-scan: both sides are in order
             i = np.searchsorted(known, found)
             hit = np.flatnonzero((i < len(known)) & (known[np.minimum(i, len(known) - 1)] == found))
-            self._verify(data, where[hit], text, positions[i[hit]])
             least[hit] = np.minimum(least[hit], known_ids[i[hit]])
         smaller = np.empty(len(at), bool)
         smaller[order] = least[group] < own[order]
-        self._insert(found, where, least, data)
+        self._insert(found, least)
         return smaller
 
-    def _insert(self, found: np.ndarray, where: np.ndarray, least: np.ndarray, data: np.ndarray) -> None:
-        self.levels.append((0, found, where, least, data))
+    def _insert(self, found: np.ndarray, least: np.ndarray) -> None:
+        self.levels.append((0, found, least))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, f1, p1, i1, t1), (_, f2, p2, i2, t2) = self.levels[-2:]
-            prints = np.concatenate([f1, f2])
-            order = np.argsort(prints, kind="stable")
-            first, values = _split(order, prints[order])
-            ids = np.minimum.reduceat(np.concatenate([i1, i2])[order], first[:-1])
-            self.levels[-2:] = [(rank + 1, values, np.concatenate([p1, p2 + len(t1)])[order[first[:-1]]], ids, np.concatenate([t1, t2]))]
+            (rank, f1, i1), (_, f2, i2) = self.levels[-2:]
+            both = np.concatenate([f1, f2])
+            order = np.argsort(both, kind="stable")  # of two runs in order, so a merge
+            first, strings = _split(order, both[order])
+            self.levels[-2:] = [(rank + 1, strings, np.minimum.reduceat(np.concatenate([i1, i2])[order], first[:-1]))]
 
-    @staticmethod
-    def _verify(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray) -> None:
-        span = np.arange(LENGTH)
-        for i in range(0, len(at), 1 << 16):
-            if (one[at[i : i + (1 << 16), None] + span] != other[there[i : i + (1 << 16), None] + span]).any():
-                raise Collision
 
-
-class Collision(Exception):
-    """Two strings have one fingerprint; another base tells them apart."""
-
-
-def smaller_windows(strings: list[bytes], ids: np.ndarray, base: int = int(_BASE), batch_windows: int = BATCH_WINDOWS) -> np.ndarray:
+def smaller_windows(strings: list[bytes], ids: np.ndarray, batch_windows: int = BATCH_WINDOWS, family: SuffixArrayFamily | None = None) -> np.ndarray:
     """Does each window, string by string, start in a string of a smaller id? The strings come in ascending order of ids."""
-    family, found, first = SuffixArrayFamily(base), [], 0
-    try:
-        while first < len(strings):
-            last, size = first, 0
-            while last < len(strings) and size < batch_windows:
-                size += len(strings[last]) - LENGTH + 1
-                last += 1
-            found.append(family.add(strings[first:last], ids[first:last]))
-            first = last
-    except Collision:
-        return smaller_windows(strings, ids, base + 2, batch_windows)
+    family, found, first = family or SuffixArrayFamily(), [], 0
+    while first < len(strings):
+        last, size = first, 0
+        while last < len(strings) and size < batch_windows:
+            size += len(strings[last]) - LENGTH + 1
+            last += 1
+        found.append(family.add(strings[first:last], ids[first:last]))
+        first = last
     return np.concatenate(found) if found else np.zeros(0, bool)
 
 
@@ -408,7 +401,8 @@ def _cut(block: pa.Table, answers: pa.Table, buckets: int, with_text: bool) -> p
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, null unless with_text).
 
-    A null text counts as empty. Documents shorter than LENGTH bytes stay whole. A null id is larger
+    A null text counts as empty. A document must fit in a task, and a block holds block_bytes or its
+    longest document. Documents shorter than LENGTH bytes stay whole. A null id is larger
     than every other one; rows with the same id are not smaller than one another. Short copies that
     a map task settles have kept null even with_text where they are shorter than LENGTH; their text
     is the input's. An empty table gives no rows.

@@ -65,6 +65,27 @@ def test_levels_are_logarithmic():
     assert [level[0] for level in family.levels] == [5, 2, 0]
 
 
-def test_a_fingerprint_collision_is_noticed():
-    with pytest.raises(sd.Collision):
-        sd.SuffixArrayFamily._verify(np.zeros(60, np.uint8), np.array([0]), np.ones(60, np.uint8), np.array([0]))
+def test_levels_are_suffix_arrays():
+    """Each level holds the distinct windows of its batches in the order of their bytes."""
+    rng = random.Random(5)
+    batches = [[bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(sd.LENGTH, 120))) for _ in range(4)] + [b"\x00" * 70] for _ in range(6)]
+    family = sd.SuffixArrayFamily()
+    for i, strings in enumerate(batches):
+        family.add(strings, np.full(len(strings), i))
+    (top, low), held = family.levels, lambda xs: sorted({s[j : j + sd.LENGTH] for strings in xs for s in strings for j in range(len(s) - sd.LENGTH + 1)})
+    for level, own in ((top, batches[:4]), (low, batches[4:])):
+        assert [bytes(w).ljust(sd.LENGTH, b"\x00") for w in level[1]] == held(own)
+
+
+def test_shared_minimizers():
+    rng = np.random.default_rng(1)
+    each = [np.unique(rng.integers(0, 60, 25).astype(np.uint32)) for _ in range(7)]
+    import pyarrow as pa
+
+    table = pa.table({"bucket": pa.array([3] * 7, pa.int32()), "block": pa.array(range(10, 17), pa.int32()), "keys": [k.tobytes() for k in each]})
+    count = {}
+    for k in each:
+        for x in k.tolist():
+            count[x] = count.get(x, 0) + 1
+    got = {r["block"]: (np.frombuffer(r["shared"], np.uint32).tolist(), np.frombuffer(r["hot"], np.uint32).tolist()) for r in sd._shared_minimizers(table, 4).to_pylist()}
+    assert got == {10 + i: ([x for x in k.tolist() if count[x] > 1], [x for x in k.tolist() if count[x] >= 4]) for i, k in enumerate(each)}
