@@ -47,8 +47,8 @@ def test_fingerprints_and_classes_against_brute_force(docs):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {i for i, c in found.items() if i == c}
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 7])
-def test_links_of_a_large_cluster_stay_linear(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows, agree", [(4096, 2), (7, 2), (4096, 3), (50, 5)])
+def test_links_of_a_large_cluster_stay_linear(spark, cell_rows, agree):
     rng = np.random.default_rng(5)
     centre = int(rng.integers(1 << 62))
     fps = {centre}
@@ -57,8 +57,8 @@ def test_links_of_a_large_cluster_stay_linear(spark, cell_rows):
     fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
     signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
     points = spark.createDataFrame([(f, f) for f in signed], "rep bigint, fp bigint")
-    edges = simhash.links(points, cell_rows=cell_rows)
-    assert edges.count() < 15 * 600
+    edges = simhash.links(points, cell_rows=cell_rows, agree=agree)
+    assert edges.count() < len(simhash.cell_masks(agree=agree)) * 600
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     want = brute_components({f: f % 2**64 for f in signed})
     linked = {i for i, c in want.items() if sum(x == c for x in want.values()) > 1}
@@ -69,6 +69,33 @@ def test_links_of_a_large_cluster_stay_linear(spark, cell_rows):
     assert set(got) == linked and sorted(map(sorted, by_want.values())) == sorted(map(sorted, by_got.values()))
 
 
+@pytest.mark.parametrize("agree", [2, 3, 4])
+def test_selectivity_is_as_computed(agree):
+    """Of unrelated fingerprints, the share of pairs that share a cell; and pairs within the radius always do."""
+    rng = np.random.default_rng(agree)
+    fps = rng.integers(0, 1 << 63, 6_000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 6_000).astype(np.uint64)
+    unary = lambda x: ((x & (x >> np.uint64(1)) & np.uint64(simhash._LOW)) << np.uint64(1)) | ((x | (x >> np.uint64(1))) & np.uint64(simhash._LOW))
+    code, met = unary(fps), 0
+    for mask in simhash.cell_masks(agree=agree):
+        _, counts = np.unique(code & np.uint64(mask % 2**64), return_counts=True)
+        met += int((counts * (counts - 1) // 2).sum())
+    assert met / (6_000 * 5_999 / 2) == pytest.approx(simhash.selectivity(simhash.RADIUS, agree), rel=0.35)
+    near = fps.copy()
+    for _ in range(simhash.RADIUS):
+        near ^= np.uint64(1) << rng.integers(0, 64, 6_000).astype(np.uint64)
+    shared = np.zeros(6_000, bool)
+    for mask in simhash.cell_masks(agree=agree):
+        shared |= (unary(near) & np.uint64(mask % 2**64)) == (code & np.uint64(mask % 2**64))
+    assert shared.all()
+
+
+def test_sharper_cells_for_more_points():
+    chosen = [simhash.agreeing_groups(10**n) for n in range(3, 13)]
+    assert chosen == sorted(chosen) and chosen[0] == 2 and chosen[-1] > 4
+    compared = [10**n * simhash.selectivity(simhash.RADIUS, k) for n, k in zip(range(3, 13), chosen)]
+    assert compared[-1] < 10**12 / 10**5  # partners of a point, of 10^12
+
+
 def test_popcount_distance_is_a_lower_bound(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-(2**63), 2**63 - 1, (200, 2))]
