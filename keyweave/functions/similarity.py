@@ -36,22 +36,110 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 for names that are equal after trimming and lower-casing, else the Ratcliff-Obershelp ratio; 0 for a missing one."""
 
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        x, y = x.strip().lower(), y.strip().lower()
-        return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+    return pd.Series([_ratcliff(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+def _ratcliff(x: str | None, y: str | None) -> float:
+    if not x or not y:
+        return 0.0
+    x, y = x.strip().lower(), y.strip().lower()
+    return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def name_matrix(names: pd.Series) -> pd.Series:
+    """Of an array of names, text_similarity of each with each (in this order: the ratio isn't symmetric)."""
+    return pd.Series([[[_ratcliff(x, y) for y in row] for x in row] for row in names])
+
+
+@F.pandas_udf(T.DoubleType())
+def best_name_score(query: pd.Series, names: pd.Series) -> pd.Series:
+    """The highest indel ratio, in [0, 1] and with case, of a query and an array of names; 0 without any name."""
+    return pd.Series([max((_indel(q, n) for n in ns if n), default=0.0) / 100 if q is not None else 0.0 for q, ns in zip(query, names)], dtype="float64")
+
+
+def _partial(a: str, b: str) -> float:
+    """The highest ratio of the shorter text with a part of the longer one of its length, or shorter at the ends."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0 if b else 100.0
+    n, best = len(a), 0.0
+    for start in range(1 - n, len(b)):
+        part = b[max(0, start) : start + n]
+        best = max(best, _indel(a, part))
+        if best == 100.0:
+            break
+    return best
+
+
+def _token_set(a: str, b: str) -> float:
+    """The highest ratio of the words that both have with and without the words that one has, all in order."""
+    x, y = {*a.split()}, {*b.split()}
+    if not x or not y:
+        return 0.0
+    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
+    if both and (not left or not right):
+        return 100.0
+    joined = [" ".join(w) for w in (both, both + left, both + right)]
+    pairs = [(joined[1], joined[2])] + ([(joined[0], joined[1]), (joined[0], joined[2])] if both else [])
+    return max(_indel(u, v) for u, v in pairs)
+
+
+def _token_sort(a: str, b: str) -> float:
+    return _indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def _token_ratio(a: str, b: str) -> float:
+    return max(_token_sort(a, b), _token_set(a, b))
+
+
+def _partial_token_ratio(a: str, b: str) -> float:
+    x, y = {*a.split()}, {*b.split()}
+    if x & y:
+        return 100.0
+    return max(_partial(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), _partial(" ".join(sorted(x)), " ".join(sorted(y))))
+
+
+def _weighted(a: str, b: str) -> float:
+    """The whole ratio, or one that allows for order (times 0.95) or, where one text is 1.5 times as long, for parts (times 0.9, from 8 times as long 0.6)."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    best = _indel(a, b)
+    if longer < 1.5:
+        return max(best, 0.95 * _token_ratio(a, b))
+    scale = 0.9 if longer <= 8 else 0.6
+    return max(best, scale * _partial(a, b), 0.95 * scale * _partial_token_ratio(a, b))
+
+
+def _quick(a: str, b: str) -> float:
+    return _indel(a, b) if a and b else 0.0
+
+
+#: Scorers of two names, 0 to 100, by the names that users know them by.
+SCORERS = {"ratio": _indel, "partial_ratio": _partial, "token_sort_ratio": _token_sort, "token_set_ratio": _token_set, "token_ratio": _token_ratio, "WRatio": _weighted, "QRatio": _quick}
+
+
+def scorer(name: str):
+    """The scorer of that name as a function of two columns; null if either is null."""
+    score = SCORERS[name]
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return scored
 
 
 def may_reach(a: Column, b: Column, cutoff: float) -> Column:
-    """Lossless filter before indel_ratio >= cutoff: first by length, then by the builtin Levenshtein distance with a threshold.
+    """Lossless filter before indel_ratio >= cutoff: first by length, then by the builtin Levenshtein distance, which stops at its threshold.
 
     indel >= levenshtein, and ratio >= c means indel <= (1 - c / 100) x (|a| + |b|).
     """
     allowed = F.lit(1 - cutoff / 100) * (F.length(a) + F.length(b)) + F.lit(1e-9)
-    return (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)
+    near = F.call_function("levenshtein", a, b, F.floor(allowed).cast("int")) >= 0  # -1 beyond it
+    return (F.abs(F.length(a) - F.length(b)) <= allowed) & near
 
 
 def default_process(c: Column) -> Column:

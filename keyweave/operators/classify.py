@@ -47,8 +47,12 @@ def label_columns(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
     out = rows.withColumn("class_ids", F.array_join(ids, "|")).withColumn("class_scores", F.array_join(F.transform(ids, lambda i: _short(F.col("labels")[i])), "|"))
     if names is None:
         return out
-    table = names.agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("_names"))
-    return out.join(F.broadcast(table)).withColumn("class_names", F.array_join(F.transform(ids, lambda i: F.coalesce(F.col("_names")[i], i)), "|")).drop("_names")
+    # names by the distinct ids of each list of classes: a join by id, whatever the number of names
+    lists = out.select("class_ids").where("class_ids <> ''").distinct()
+    each = lists.select("class_ids", F.posexplode(F.split("class_ids", r"\|")).alias("_at", "_id")).join(names.select(F.col("id").alias("_id"), F.col("name").alias("_name")), "_id", "left")
+    found = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_name", "_id").alias("_name"))))
+    named = each.groupBy("class_ids").agg(F.array_join(F.transform(found, lambda x: x["_name"]), "|").alias("class_names"))
+    return out.join(named, "class_ids", "left").withColumn("class_names", F.when(F.col("class_ids") == "", "").otherwise(F.col("class_names"))).select(*out.columns, "class_names")
 
 
 def to_labels(rows: DataFrame, key: str, level: str, order: str) -> DataFrame:

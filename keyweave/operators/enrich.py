@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions.cols import is_missing
+from keyweave.operators.durable import checkpointed
 
 
 def enrich(df: DataFrame, column: str, resolve: Callable[[DataFrame], DataFrame], prefix: str = "kw_") -> DataFrame:
@@ -56,6 +57,7 @@ def resolve_cascade(
         met = met.withColumn("_kw_said", accept() if accept else F.array().cast("array<string>"))
         ok = met if accept is None else met.where(F.size("_kw_said") > 0)
         ok = ok.withColumns({"resolved_by": F.lit(label), "validated_by": F.nullif(F.array_join("_kw_said", "+"), F.lit(""))}).drop("_kw_key", "_kw_query", "_kw_said")
+        ok = checkpointed(ok)  # once: for the result and for the rows that stay open
         done = ok if done is None else done.unionByName(ok)
         pending = pending.join(ok.select(id_col), id_col, "left_anti")
     left = F.when(~is_missing(F.col(fallback[1])), fallback[0]).otherwise("none") if fallback else F.lit("none")

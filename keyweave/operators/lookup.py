@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.functions.similarity import indel_ratio, may_reach
+from keyweave.functions.similarity import indel_ratio, may_reach, tanimoto
 from keyweave.operators.durable import checkpointed
 
 Fold = Callable[[Column], Column]
@@ -38,7 +38,7 @@ def lookup_cascade(queries: DataFrame, catalog: DataFrame, keys: Sequence[str],
     """The first of several query keys that the catalog has: raw, then canonical and so on."""
     done, pending = None, queries
     for key in keys:
-        found = lookup(pending, catalog, key, on, order)
+        found = checkpointed(lookup(pending, catalog, key, on, order))  # once: for the hits and for what is left
         hit = found.where(F.col(on).isNotNull())
         done = hit if done is None else done.unionByName(hit)
         pending = pending.join(hit.select(id_col), id_col, "left_anti")
@@ -62,21 +62,29 @@ def exact_or_alias(queries: DataFrame, catalog: DataFrame, key: str, columns: Se
 def contains_pairs(queries: DataFrame, texts: DataFrame, key: str, text: str, id_col: str) -> DataFrame:
     """(key, id) where the text contains the key without regard to case.
 
-    A key is met through its rarest trigram: only texts with that trigram are compared, which is an
-    equi-join. Keys shorter than three characters have none and are compared with every text.
+    A key is met through its rarest trigram (keys of one or two characters through themselves): only
+    texts that have it are compared, which is an equi-join.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
     wanted = queries.select(F.lower(F.col(key)).alias("_k"), F.col(key).alias("key")).where("_k <> ''").distinct()
     held = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("_t"))
-    long = wanted.where(F.length("_k") >= 3).select("key", "_k", F.explode(grams(F.col("_k"))).alias("gram"))
-    each = held.where(F.length("_t") >= 3).select("id", "_t", F.explode(grams(F.col("_t"))).alias("gram"))
-    counts = each.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
-    # a key with a trigram that no text has can't be contained
-    rarest = long.join(counts, "gram", "left").groupBy("key", "_k").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
-    met = rarest.join(each, "gram").where(F.contains("_t", "_k")).select("key", "id")
-    short = wanted.where(F.length("_k") < 3)
-    more = held.join(short, F.contains("_t", "_k")).select("key", "id")
-    return met.unionByName(more).distinct()
+    # only (id, gram) is dealt by grams; texts are joined to the pairs that are left
+    size = F.least(F.length("_k"), F.lit(3))
+    asked = wanted.select("key", "_k", F.explode(_grams(F.col("_k"), size)).alias("gram"))
+    each = None
+    for n in (1, 2, 3):
+        some = held.where(F.length("_t") >= n).select("id", F.explode(_grams(F.col("_t"), F.lit(n))).alias("gram"))
+        some = some.join(asked.select("gram").where(F.length("gram") == n).distinct(), "gram", "left_semi")
+        each = some if each is None else each.unionByName(some)
+    counts = each.groupBy("gram").count()
+    # a key with a gram that no text has can't be contained
+    rarest = asked.join(counts, "gram", "left").groupBy("key", "_k").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+    met = rarest.join(each, "gram").select("key", "_k", "id")
+    return met.join(held, "id").where(F.contains("_t", "_k")).select("key", "id").distinct()
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct runs of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))
 
 
 def search_top_up(queries: DataFrame, catalog: DataFrame, key: str, first: str, then: str, id_col: str, k: int) -> DataFrame:
@@ -103,18 +111,20 @@ def prefix_lookup(queries: DataFrame, catalog: DataFrame, key: str, on: str, len
 def fuzzy_top_n(queries: DataFrame, names: DataFrame, key: str, name: str, cutoff: float = 80.0, n: int = 5, process: Fold | None = None, salts: int = 16) -> DataFrame:
     """query, name, score, rank: per query the n best names with indel ratio >= cutoff, ties by name.
 
-    Distinct names only. Pairs come from an equi-join on (length, salt): a query asks for the lengths
-    that the cutoff allows, once for each salt, so no task gets all names of a length. Then a Levenshtein
-    bound, which loses nothing, and the exact ratio for what is left.
+    Distinct names only. Pairs come from an equi-join on (length, salt): a query asks for those lengths of
+    names that the cutoff allows, once for each salt, so no task gets all names of a length. Then a
+    Levenshtein bound, which loses nothing, and the exact ratio for what is left.
     """
     of = process or (lambda c: c)
-    share = 1 - cutoff / 100
-    left = queries.select(F.col(key).alias("query"), of(F.col(key)).alias("_a")).where("_a is not null").distinct()
-    # |len a - len b| <= share x (len a + len b)
-    low, high = F.ceil(F.length("_a") * (1 - share) / (1 + share) - 1e-9), F.floor(F.length("_a") * (1 + share) / (1 - share) + 1e-9) if share < 1 else F.length("_a") + 1000
-    left = left.withColumn("_length", F.explode(F.sequence(low.cast("int"), high.cast("int")))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    share = min(1.0, 1 - cutoff / 100)
     right = names.select(F.col(name).alias("name"), of(F.col(name)).alias("_b")).where("_b is not null").distinct()
+    # the lengths that names have: at most as many as the longest name has characters
+    lengths = sorted(r[0] for r in right.select(F.length("_b")).distinct().collect())
     right = right.withColumn("_length", F.length("_b")).withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
+    left = queries.select(F.col(key).alias("query"), of(F.col(key)).alias("_a")).where("_a is not null").distinct()
+    # |len a - len b| <= share x (len a + len b)
+    possible = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.abs(n - F.length("_a")) <= share * (n + F.length("_a")) + 1e-9)
+    left = left.withColumn("_length", F.explode(possible)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     near = left.join(right, ["_length", "_salt"]).where(may_reach(F.col("_a"), F.col("_b"), cutoff))
     scored = near.withColumn("score", indel_ratio("_a", "_b")).where(F.col("score") >= cutoff - 1e-9)
     return first_k(scored.select("query", "name", "score"), ["query"], [F.desc("score"), "name"], n)
@@ -132,17 +142,21 @@ def exact_then_fuzzy(queries: DataFrame, names: DataFrame, key: str, name: str,
 
 
 def tanimoto_top_k(queries: DataFrame, fingerprints: DataFrame, id_col: str, bits: str, threshold: float, k: int, salts: int = 16) -> DataFrame:
-    """query_id, id, score, rank: per query the k fingerprints (one long each) with Tanimoto >= threshold, ties by id.
+    """query_id, id, score, rank: per query the k fingerprints with Tanimoto >= threshold, ties by id.
 
-    The ratio of the bit counts bounds the score from above, so a query meets only counts from
-    threshold x its own to its own / threshold: an equi-join on (count, salt).
+    bits is a long, or an array of longs for fingerprints of any size (2,048 bits are 32 longs). The
+    ratio of the bit counts bounds the score from above, so a query meets only counts from threshold
+    x its own to its own / threshold: an equi-join on (count, salt).
     """
-    left = queries.select(F.col(id_col).alias("query_id"), F.col(bits).alias("_a"), F.bit_count(bits).alias("_n")).where("_n > 0")
+    whole = lambda df: F.col(bits) if df.schema[bits].dataType.typeName() == "array" else F.array(bits)
+    ones = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.bit_count(x))
+    left = queries.select(F.col(id_col).alias("query_id"), whole(queries).alias("_a")).withColumn("_n", ones(F.col("_a"))).where("_n > 0")
+    right = fingerprints.select(F.col(id_col).alias("id"), whole(fingerprints).alias("_b"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_salt")).withColumn("_count", ones(F.col("_b")))
     low, high = F.ceil(F.col("_n") * threshold - 1e-9), F.floor(F.col("_n") / threshold + 1e-9)
-    left = left.withColumn("_count", F.explode(F.sequence(low.cast("int"), high.cast("int")))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = fingerprints.select(F.col(id_col).alias("id"), F.col(bits).alias("_b"), F.bit_count(bits).alias("_count"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_salt"))
-    both, either = F.bit_count(F.col("_a").bitwiseAND(F.col("_b"))), F.bit_count(F.col("_a").bitwiseOR(F.col("_b")))
-    scored = left.join(right, ["_count", "_salt"]).withColumn("score", both / either).where(F.col("score") >= threshold)
+    # counts that fingerprints have: at most one more than they have bits
+    counts = F.lit([r[0] for r in right.select("_count").distinct().collect() if r[0] is not None] or [0]).cast("array<int>")
+    left = left.withColumn("_count", F.explode(F.filter(counts, lambda n: n.between(low, high)))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scored = left.join(right, ["_count", "_salt"]).withColumn("score", tanimoto(F.col("_a"), F.col("_b"))).where(F.col("score") >= threshold)
     return first_k(scored.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), "id"], k)
 
 

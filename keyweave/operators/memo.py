@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+
+from keyweave.operators.durable import checkpointed
 from pyspark.sql import functions as F
 
 
@@ -15,9 +17,9 @@ def probe(keys: DataFrame, memo: DataFrame, key: str = "key") -> tuple[DataFrame
 
 
 def memoised(keys: DataFrame, memo: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """All values for the distinct keys, and the new rows to append to the memo."""
+    """All values for the distinct keys, and the new rows to append to the memo. Each miss is computed once, when this is called."""
     known, misses = probe(keys, memo, key)
-    new = compute(misses)
+    new = checkpointed(compute(misses))
     return known.select(*new.columns).unionByName(new), new
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from keyweave.functions import chem
 from keyweave.functions.cols import has_attachment_point, norm_name, skeleton
-from keyweave.functions.similarity import candidate_similarity, tanimoto
+from keyweave.functions.similarity import best_name_score, candidate_similarity, name_matrix, tanimoto
+from keyweave.operators.durable import checkpointed
 from keyweave.operators.lookup import first_k, fuzzy_top_n
 
 #: Catalogs in order of priority.
@@ -90,21 +91,27 @@ def base_confidence(method: Column, score: Column) -> Column:
 
 
 def confidence(method: Column, consensus: Column, query_score: Column, n_sources: Column, query_weight: float = 0.5) -> Column:
-    """base x (w q + 1 - w) x (0.5 + 0.5 consensus) x support in [0, 1], 4 decimals; 0 without any consensus."""
+    """base x (w q + 1 - w) x (0.5 + 0.5 consensus) x support in [0, 1], 4 decimals (the last bits of a double don't decide a tie); 0 without any consensus."""
     q = F.when(method.isin(*SCORED), 1.0).otherwise(F.coalesce(query_score, F.lit(1.0)))
     support = F.lit(1.0)
     for n, factor in SUPPORT.items():
         support = F.when(n_sources == n, factor).otherwise(support)
     value = base_confidence(method, query_score) * (query_weight * q + (1 - query_weight)) * (0.5 + 0.5 * consensus) * support
-    return F.when(consensus == 0, 0.0).otherwise(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 4))
+    return F.when(consensus == 0, 0.0).otherwise(F.round(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 12), 4))
 
 
 def completeness() -> Column:
     """The share of seven facts that a candidate has: six fields, and any registry number."""
-    present = [F.col(c).isNotNull().cast("int") for c in ("name", "iupac_name", "formula", "smiles", "inchi", "inchikey")]
+    present = [F.col(c).isNotNull().cast("int") for c in ("smiles", "inchikey", "inchi", "mass", "name", "dtxsid")]
     return (sum(present[1:], present[0]) + (F.size(F.coalesce("cas", F.array().cast("array<string>"))) > 0).cast("int")) / 7.0
 
 
+def n_present() -> Column:
+    """How many fields of a catalog's row have a value."""
+    fields = [F.col(c).isNotNull().cast("int") for c in ("id", *RECORD)]
+    return sum(fields[1:], fields[0]) + (F.size(F.coalesce("cas", F.array().cast("array<string>"))) > 0).cast("int")
+
+
 def cluster_key(by_skeleton: bool = True) -> Column:
     """Candidates of one entity share it: key or skeleton, else structure, else name, else nothing.
 
@@ -145,14 +152,16 @@ def _agree(packed: DataFrame, config: ResolverConfig) -> DataFrame:
     it, the consensus their mean. A cluster has one member per source, so this is at most 25 pairs,
     compared inside the row.
     """
-    sims = F.transform("members", lambda a: F.transform("members", lambda b: F.when(a["at"] == b["at"], 1.0).otherwise(candidate_similarity(a, b))))
+    alike = lambda i, j: F.get(F.get(F.col("_names"), i), j)
+    packed = packed.withColumn("_names", name_matrix(F.transform("members", lambda m: m["name"])))
+    sims = F.transform("members", lambda a, i: F.transform("members", lambda b, j: F.when(i == j, 1.0).otherwise(candidate_similarity(a, b, alike(i, j)))))
     n = F.size("members")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     support = F.transform("_sims", lambda row, i: F.when(n == 1, 1.0).otherwise(total(F.filter(row, lambda x, j: j != i)) / (n - 1)))
     near = F.transform("_support", lambda x: x >= F.array_max("_support") - config.anchor_window)
     out = packed.withColumn("_sims", sims).withColumn("_support", support).withColumn("anchor_at", (F.array_position(near, True) - 1).cast("int"))
     out = out.withColumn("scores", F.transform("_sims", lambda row: F.get(row, F.col("anchor_at"))))
-    return out.withColumns({"anchor": F.get("members", "anchor_at")["source"], "consensus": total(F.col("scores")) / n}).drop("_sims", "_support")
+    return out.withColumns({"anchor": F.get("members", "anchor_at")["source"], "consensus": total(F.col("scores")) / n}).drop("_sims", "_support", "_names")
 
 
 def consensus(members: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
@@ -233,13 +242,16 @@ def pool(queries: DataFrame, catalogs: dict[str, DataFrame], kind: str, config:
     """
     method, keys = DISPATCH[kind]
     direct = {s: c for s, c in keys.items() if s in catalogs and c == kind}
+    # a part that later ones or fallbacks build on is computed once
+    further = any(s in catalogs and s not in direct for s in keys) or config.fuzzy or config.inchikey_skeleton or config.similarity_threshold > 0
+    once = checkpointed if further else (lambda df: df)
     parts = []
     for source, column in direct.items():
         keyed = queries.select("q_idx", "query", F.col("query").alias("_key"))
-        parts.append(_candidates(keyed, catalogs[source], source, column, method, config))
+        parts.append(once(_candidates(keyed, catalogs[source], source, column, method, config)))
         if kind == "smiles" and source in CANONICAL and chem.available():
             again = keyed.join(parts[-1].select("q_idx"), "q_idx", "left_anti").withColumn("_key", chem.normalise_structure("query")["canonical_smiles"])
-            parts.append(_candidates(again, catalogs[source], source, column, method, config))
+            parts.append(once(_candidates(again, catalogs[source], source, column, method, config)))
     for source, column in keys.items():
         if source in catalogs and source not in direct and parts:
             # the first structure that a source of higher priority knows
@@ -247,7 +259,7 @@ def pool(queries: DataFrame, catalogs: dict[str, DataFrame], kind: str, config:
             for p in parts[1:]:
                 known = known.unionByName(p)
             best = known.where(F.col(column).isNotNull()).groupBy("q_idx", "query").agg(F.min_by(column, F.struct(priority(F.col("source")), "origin_rank")).alias("_key"))
-            parts.append(_candidates(best, catalogs[source], source, column, method, config))
+            parts.append(once(_candidates(best, catalogs[source], source, column, method, config)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -278,18 +290,24 @@ def _candidates(keyed: DataFrame, catalog: DataFrame, source: str, column: str,
     else:
         right = catalog.withColumn("_on", fold(F.col(column)))
     met = keyed.withColumn("_key", fold(F.col("_key"))).join(right, F.col("_key") == F.col("_on")).drop("_on")
-    first = [F.desc("_complete"), "id"] if method == "formula" else ["id"]
+    first = [F.desc("_present"), "id"] if method == "formula" else ["id"]
     if column == "name":
         first = ["_via", "id"]
         if source in SYNONYMS_LAST:
             met = met.withColumn("_least", F.min("_via").over(Window.partitionBy("q_idx"))).where("_via = _least")
-    met = met.withColumn("_complete", completeness())
+    met = met.withColumn("_present", n_present())
     rank = F.row_number().over(Window.partitionBy("q_idx").orderBy(*first)) - 1
-    score = F.col("_complete") if method == "formula" else F.lit(1.0)
+    score = completeness() if method == "formula" else best_name_score(F.col("query"), _all_names()) if method == "exact_name" else F.lit(1.0)
     ranked = met.withColumn("origin_rank", rank).where(F.col("origin_rank") < config.top_k_per_source)
     return ranked.select("q_idx", "query", F.lit(source).alias("source"), "origin_rank", F.lit(method).alias("match_method"), score.alias("query_match_score"), *RECORD, "cas")
 
 
+def _all_names() -> Column:
+    """A row's name, IUPAC name and synonyms, without missing ones."""
+    synonyms = F.transform(F.split(F.coalesce(F.col("synonyms").cast("string"), F.lit("")), ";"), lambda n: F.trim(n))
+    return F.filter(F.concat(F.array("name", "iupac_name"), synonyms), lambda n: n.isNotNull() & (n != ""))
+
+
 def _named(catalog: DataFrame, iupac: bool = False) -> DataFrame:
     """A catalog's rows once for each different name in lower case: _via 0 for the name, 1 for synonyms, 2 for the IUPAC name."""
     clean = lambda via, names: F.transform(names, lambda n: F.struct(F.lit(via).alias("via"), F.lower(n).alias("name")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.operators import inventory as inv
+from keyweave.operators.durable import shared_folder
 from keyweave.plans.registry import Registry, table
 
 REG = Registry()
@@ -187,10 +188,9 @@ def nested_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("SELECT s_suppkey AS source_id, s_name AS source_name FROM supplier")
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import os
-    import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyweave-")
+    shared = shared_folder(spark)
     path = os.path.join(shared, f"export-{uuid.uuid4().hex}")
     inv.export_csv(star(spark, sf_dir).sources.select("source_id", "source_name"), path)
     return spark.read.csv(path, header=True, schema="source_id bigint, source_name string")

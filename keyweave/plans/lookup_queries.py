@@ -103,16 +103,21 @@ def prefix_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Misspelt names: the second character is dropped, and one that fits nothing.
 _MISSPELT_SQL = "SELECT DISTINCT substr(p_name, 1, 1) || substr(p_name, 3) AS query FROM part UNION SELECT 'zzzznosuchname'"
-_RATIO_SQL = """
-pairs AS (SELECT q.query AS a, n.name AS b FROM q, (SELECT DISTINCT p_name AS name FROM part) n),
+def ratio_sql(pairs: str) -> str:
+    """CTEs up to ratio(a, b, score): 200 x the longest common subsequence over the summed lengths, by its textbook recursion."""
+    return f"""
+pairs_ AS ({pairs}),
 dp(a, b, i, r) AS (
-  SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM pairs
+  SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM pairs_
   UNION ALL
   SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]),
     lambda acc, e: list_append(acc, CASE WHEN substr(b, e[1]::INT, 1) = substr(a, i + 1, 1) THEN r[e[1]] + 1 ELSE greatest(r[e[1] + 1], acc[-1]) END), [0::BIGINT])
   FROM dp WHERE i < length(a)),
-scored AS (SELECT a AS query, b AS name, 200.0 * r[-1] / (length(a) + length(b)) AS score FROM dp WHERE i = length(a)),
-top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name)::INT AS rank FROM scored WHERE score >= 80)
+ratio AS (SELECT a, b, 200.0 * r[-1] / (length(a) + length(b)) AS score FROM dp WHERE i = length(a))"""
+
+
+_RATIO_SQL = ratio_sql("SELECT q.query AS a, n.name AS b FROM q, (SELECT DISTINCT p_name AS name FROM part) n") + """,
+top AS (SELECT a AS query, b AS name, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS rank FROM ratio WHERE score >= 80)
 """
 
 
@@ -128,14 +133,14 @@ def fuzzy_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REG.query(f"""
-WITH RECURSIVE q AS (SELECT DISTINCT p_name AS query FROM part WHERE p_partkey % 3 = 0 UNION {_MISSPELT_SQL}), {_RATIO_SQL},
+WITH RECURSIVE q AS (SELECT DISTINCT p_name AS query FROM part UNION {_MISSPELT_SQL}), {_RATIO_SQL},
 exact AS (SELECT query FROM q WHERE query IN (SELECT p_name FROM part))
 SELECT query, query AS name, 100.0::DOUBLE AS score, 1 AS rank, 'exact_name' AS match_method FROM exact
 UNION ALL SELECT query, name, round(score, 6)::DOUBLE, rank, 'fuzzy_name' FROM top WHERE rank <= 5 AND query NOT IN (SELECT query FROM exact)""")
 def exact_then_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     names = part.select("p_name").distinct()
-    keys = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("query")).unionByName(_misspelt(names, spark)).distinct()
+    keys = names.select(F.col("p_name").alias("query")).unionByName(_misspelt(names, spark)).distinct()
     return lk.exact_then_fuzzy(keys, names, "query", "p_name", norm_name).withColumn("score", F.round("score", 6))
 
 

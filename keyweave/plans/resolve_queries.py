@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyweave.operators import enrich as en
 from keyweave.operators import resolve as rs
+from keyweave.plans.lookup_queries import ratio_sql
 from keyweave.plans.registry import Registry, table
 
 REG = Registry()
@@ -51,13 +52,22 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOURCE_ROWS = " UNION ALL ".join(f"SELECT {i} AS pr, '{s}' AS source, * FROM ({_view_sql(s, 'duckdb')})" for i, s in enumerate(_VIEWS))
 
 
-def _pool_sql(on: str, keys: str, score: str = "1.0", order: str = "id", method: str = "exact_name") -> str:
-    """CTEs from queries to hits, the way resolve() defines them."""
+def _pool_sql(on: str, keys: str, score: str = "1.0", order: str = "id", method: str = "exact_name", joined: str = "", top: int = 5, hop: str = "") -> str:
+    """CTEs from queries to hits, by the rules of the resolver: at most top rows of each source; hop names the sources that are reached by the key the others know."""
+    hop_sql = (
+        f"""known AS (SELECT q_idx, query, arg_min(inchikey, (pr, origin_rank)) AS key FROM direct WHERE inchikey IS NOT NULL GROUP BY ALL),
+second AS (SELECT q_idx, query, s.*, {score}::DOUBLE AS query_match_score FROM known JOIN sources s ON s.inchikey = known.key AND s.source IN ({hop})),
+both_ AS (SELECT * FROM direct UNION ALL SELECT *, row_number() OVER (PARTITION BY q_idx, source ORDER BY {order}) - 1 AS origin_rank FROM second),"""
+        if hop
+        else "both_ AS (SELECT * FROM direct),"
+    )
+    first = f" AND s.source NOT IN ({hop})" if hop else ""
     return f"""
 sources AS ({_SOURCE_ROWS}), keys AS ({keys}),
-met AS (SELECT q_idx, query, s.*, {score}::DOUBLE AS query_match_score FROM keys JOIN sources s ON {on}),
-placed AS (SELECT *, row_number() OVER (PARTITION BY q_idx, source ORDER BY {order}) - 1 AS origin_rank FROM met),
-pool AS (SELECT *, '{method}' AS match_method, row_number() OVER (PARTITION BY q_idx ORDER BY pr, origin_rank) - 1 AS pool_pos FROM placed WHERE origin_rank < 5),
+met AS (SELECT q_idx, query, s.*, {score}::DOUBLE AS query_match_score FROM keys JOIN sources s ON {on}{first} {joined}),
+direct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_idx, source ORDER BY {order}) - 1 AS origin_rank FROM met) WHERE origin_rank < {top}),
+{hop_sql}
+pool AS (SELECT *, '{method}' AS match_method, row_number() OVER (PARTITION BY q_idx ORDER BY pr, origin_rank) - 1 AS pool_pos FROM both_ WHERE origin_rank < {top}),
 clustered AS (SELECT *, 'skel:' || substr(inchikey, 1, 14) AS cluster FROM pool),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_idx, cluster, source ORDER BY origin_rank, query_match_score DESC, pool_pos) AS nth FROM clustered) WHERE nth = 1),
 pairs AS (SELECT a.q_idx, a.cluster, a.source, a.pr, b.source AS other, b.pr AS other_pr, CASE WHEN a.source = b.source THEN 1.0 ELSE
@@ -90,7 +100,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY confidence D
 
 
 _NAME_KEYS = "SELECT min(p_partkey) AS q_idx, upper(p_name) AS query FROM part GROUP BY upper(p_name) UNION ALL SELECT -1, 'NO SUCH NAME'"
-_BY_NAME = _pool_sql("lower(s.name) = lower(keys.query)", _NAME_KEYS)
+#: The score of a name is the best ratio, with case, of the query and a candidate's names.
+_NAME_PAIRS = "SELECT DISTINCT upper(p_name) AS a, p_name AS b FROM part UNION SELECT DISTINCT upper(p_name), p_brand FROM part"
+_BY_NAME = ratio_sql(_NAME_PAIRS) + "," + _pool_sql(
+    "lower(s.name) = lower(keys.query)",
+    _NAME_KEYS,
+    "greatest(one.score, coalesce(two.score, 0)) / 100",
+    joined="JOIN ratio one ON one.a = query AND one.b = s.name LEFT JOIN ratio two ON two.a = query AND two.b = s.iupac_name",
+)
 _SHOWN = ["q_idx", "query", "name", "formula", "mass", "smiles", "dtxsid", "source", "consensus_source", "consensus", "confidence", "n_source_support", "hit_rank"]
 _SHOWN_SQL = """k.q_idx, k.query, h.name, h.formula, round(h.mass, 4)::DOUBLE AS mass, h.smiles, h.dtxsid, h.source, h.anchor AS consensus_source,
 round(h.consensus, 6)::DOUBLE AS consensus, h.confidence, h.n_source_support, h.hit_rank"""
@@ -105,24 +122,26 @@ def _resolved(spark: SparkSession, sf_dir: str, config: rs.ResolverConfig, kind:
     return rs.resolve(asked, rs.pool(asked, catalogs(spark, sf_dir), kind, config), config)
 
 
-@REG.query(f"WITH {_BY_NAME} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked WHERE place = 1) h ON k.q_idx = h.q_idx")
+@REG.query(f"WITH RECURSIVE {_BY_NAME} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked WHERE place = 1) h ON k.q_idx = h.q_idx")
 def resolve_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_resolved(spark, sf_dir, rs.ResolverConfig()))
 
 
-@REG.query(f"WITH {_BY_NAME} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked) h ON k.q_idx = h.q_idx")
+@REG.query(f"WITH RECURSIVE {_BY_NAME} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked) h ON k.q_idx = h.q_idx")
 def resolve_all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(n_hits="all")))
 
 
-@REG.query(f"""WITH {_BY_NAME} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN
+@REG.query(f"""WITH RECURSIVE {_BY_NAME} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN
 (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY place) AS hit_rank FROM ranked WHERE n_source_support >= 2 AND confidence >= 0.5) h ON k.q_idx = h.q_idx AND h.hit_rank <= 3""")
 def resolve_min_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(n_hits=3, min_source_support=2, min_confidence=0.5)))
 
 
-_COMPLETE = "((name IS NOT NULL)::INT + (iupac_name IS NOT NULL)::INT + (formula IS NOT NULL)::INT + (smiles IS NOT NULL)::INT + (inchi IS NOT NULL)::INT + (inchikey IS NOT NULL)::INT + 1) / 7.0"
-_BY_FORMULA = _pool_sql("s.formula = keys.query", "SELECT min(p_partkey) AS q_idx, p_type AS query FROM part GROUP BY p_type", _COMPLETE, "query_match_score DESC, id", "formula")
+_has = lambda *fields: " + ".join(f"({f} IS NOT NULL)::INT" for f in fields)
+_COMPLETE = f"({_has('smiles', 'inchikey', 'inchi', 'mass', 'name', 'dtxsid')} + 1) / 7.0"
+_PRESENT = _has("id", "name", "iupac_name", "formula", "smiles", "canonical_smiles", "inchi", "inchikey", "dtxsid", "mass", "synonyms")
+_BY_FORMULA = _pool_sql("s.formula = keys.query", "SELECT min(p_partkey) AS q_idx, p_type AS query FROM part GROUP BY p_type", _COMPLETE, f"{_PRESENT} DESC, id", "formula")
 
 
 @REG.query(f"WITH {_BY_FORMULA} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked WHERE place <= 5) h ON k.q_idx = h.q_idx")
@@ -131,19 +150,54 @@ def resolve_formula_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(n_hits=5), "formula", asked))
 
 
+_TOP1 = f"SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked WHERE place = 1) h ON k.q_idx = h.q_idx"
+_BY_CAS = _pool_sql("list_contains(s.cas, keys.query)", "SELECT min(p_partkey) AS q_idx, p_brand AS query FROM part GROUP BY p_brand", method="exact_cas")
+_BY_SMILES = _pool_sql("s.smiles = keys.query", "SELECT min(p_partkey) AS q_idx, p_name || '@' || p_brand AS query FROM part GROUP BY 2", method="exact_smiles", hop="'chebi'")
+_KEY_SQL = "SELECT min(p_partkey) AS q_idx, upper(md5(p_name || p_brand)) AS query FROM part GROUP BY 2"
+_BY_KEY = _pool_sql("s.inchikey = keys.query", _KEY_SQL, method="exact_inchikey")
+_OTHER_KEY_SQL = f"SELECT q_idx, substr(query, 1, 14) || '-OTHERFORM' AS query FROM ({_KEY_SQL})"
+_BY_SKELETON = _pool_sql("substr(s.inchikey, 1, 14) = substr(keys.query, 1, 14)", _OTHER_KEY_SQL, method="inchikey_skeleton", top=1)
+
+
+def _asked(spark: SparkSession, sf_dir: str, query) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(query.alias("query")).agg(F.min("p_partkey").alias("q_idx")).select("q_idx", "query")
+
+
+@REG.query(f"WITH {_BY_CAS} SELECT {_SHOWN_SQL} FROM keys k LEFT JOIN (SELECT *, place AS hit_rank FROM ranked) h ON k.q_idx = h.q_idx")
+def resolve_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(n_hits="all"), "cas", _asked(spark, sf_dir, F.col("p_brand"))))
+
+
+@REG.query(f"WITH {_BY_SMILES} {_TOP1}")
+def resolve_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(), "smiles", _asked(spark, sf_dir, F.concat("p_name", F.lit("@"), "p_brand"))))
+
+
+@REG.query(f"WITH {_BY_KEY} {_TOP1}")
+def resolve_inchikey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(), "inchikey", _asked(spark, sf_dir, F.upper(F.md5(F.concat("p_name", "p_brand"))))))
+
+
+@REG.query(f"WITH {_BY_SKELETON} {_TOP1}")
+def resolve_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of another form with the same connectivity."""
+    other = F.concat(F.substring(F.upper(F.md5(F.concat("p_name", "p_brand"))), 1, 14), F.lit("-OTHERFORM"))
+    return _shown(_resolved(spark, sf_dir, rs.ResolverConfig(inchikey_skeleton=True), "inchikey", _asked(spark, sf_dir, other)))
+
+
 @REG.query(f"""
-WITH s AS ({_SOURCE_ROWS}), k AS (SELECT p_partkey AS q_idx, 'D' || p_partkey AS query FROM part WHERE p_partkey % 4 = 0),
+WITH s AS ({_SOURCE_ROWS}), k AS (SELECT p_partkey AS q_idx, 'D' || p_partkey AS query FROM part),
 first AS (SELECT k.q_idx, s.inchikey FROM k JOIN s ON s.source = 'comptox' AND s.dtxsid = k.query),
 hop AS (SELECT q_idx, 'comptox' AS source, 1 AS n FROM first UNION ALL
   SELECT q_idx, source, least(count(*), 5) FROM first JOIN s ON s.inchikey = first.inchikey AND s.source <> 'comptox' GROUP BY ALL)
 SELECT k.q_idx, k.query, coalesce(sum(n), 0)::BIGINT AS n_candidates, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources FROM k LEFT JOIN hop ON k.q_idx = hop.q_idx GROUP BY ALL""")
 def resolve_dtxsid_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("q_idx"), F.concat(F.lit("D"), F.col("p_partkey").cast("string")).alias("query"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("q_idx"), F.concat(F.lit("D"), F.col("p_partkey").cast("string")).alias("query"))
     found = rs.pool(asked, catalogs(spark, sf_dir), "dtxsid").groupBy("q_idx").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("s"))
     return asked.join(found, "q_idx", "left").select("q_idx", "query", F.coalesce("n", F.lit(0)).alias("n_candidates"), F.coalesce("s", F.lit("")).alias("sources"))
 
 
-@REG.query(f"WITH {_BY_NAME} SELECT q_idx, cluster, source, other, round(similarity, 6)::DOUBLE AS similarity FROM pairs WHERE source <> other")
+@REG.query(f"WITH RECURSIVE {_BY_NAME} SELECT q_idx, cluster, source, other, round(similarity, 6)::DOUBLE AS similarity FROM pairs WHERE source <> other")
 def candidate_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyweave.functions.similarity import candidate_similarity as similarity
 
@@ -155,7 +209,7 @@ def candidate_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["q_idx", "cluster"]).where("source <> other").select("q_idx", "cluster", "source", "other", F.round(similarity("a_", "b_"), 6).alias("similarity"))
 
 
-@REG.query(f"WITH {_BY_NAME} SELECT q_idx, cluster, source, anchor, round(match_score, 6)::DOUBLE AS match_score, round(consensus, 6)::DOUBLE AS consensus FROM scored")
+@REG.query(f"WITH RECURSIVE {_BY_NAME} SELECT q_idx, cluster, source, anchor, round(match_score, 6)::DOUBLE AS match_score, round(consensus, 6)::DOUBLE AS consensus FROM scored")
 def consensus_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = queries_of(spark, sf_dir)
     best = rs.best_members(rs.pool(asked, catalogs(spark, sf_dir), "name").withColumn("cluster", rs.cluster_key()))

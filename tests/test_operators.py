@@ -131,7 +131,7 @@ def _pool_of(spark, query, catalogs, kind, **settings):
 def test_names_fall_back_to_synonyms(spark):
     both = [{"name": "aspirin", "synonyms": "ASA; aspirin"}, {"name": "asa", "synonyms": "x;ASA"}, {"name": "other", "synonyms": "Asa"}]
     held = {"chebi": catalog(spark, *both), "pubchem": catalog(spark, *both)}
-    assert _pool_of(spark, "ASA", held, "name") == [("chebi", "exact_name", 1.0, "asa"), *[("pubchem", "exact_name", 1.0, n) for n in ("asa", "aspirin", "other")]]
+    assert _pool_of(spark, "ASA", held, "name") == [("chebi", "exact_name", 1.0, "asa"), *[("pubchem", "exact_name", x, n) for n, x in (("asa", 1.0), ("aspirin", 1.0), ("other", 0.3333))]]
     assert [x[::3] for x in _pool_of(spark, "X", held, "name")] == [("chebi", "asa"), ("pubchem", "asa")]
 
 
@@ -382,3 +382,90 @@ def test_closure_of_long_chains_and_cycles(spark):
         want |= {(a, b) for b in seen}
     got = lookup.closure(spark.createDataFrame(edges, "c bigint, p bigint"), "c", "p").collect()
     assert len(got) == len(want) and {(r["node"], r["ancestor"]) for r in got} == want
+
+
+def test_names_count_in_a_consensus(spark):
+    """Names that are alike but not equal weigh as their Ratcliff-Obershelp ratio says."""
+    from difflib import SequenceMatcher
+
+    from keyweave.functions.similarity import name_matrix
+
+    names = ["Acetylsalicylic acid", "acetylsalicylic acid ", "acetyl salicylate", "zinc", None]
+    df = spark.createDataFrame([(names,)], "n array<string>")
+    got = df.select(name_matrix("n").alias("m")).first()["m"]
+    clean = [n.strip().lower() if n else None for n in names]
+    assert got == [[0.0 if not x or not y else SequenceMatcher(None, x, y).ratio() for y in clean] for x in clean]
+    rows = [{"name": n, "cas": [], "inchikey": "K" * 14 + s, "smiles": None, "canonical_smiles": None, "formula": None, "mass": None} for n, s in (("acetylsalicylic acid", "A"), ("acetylsalicylate acid", "A"), ("zinc", "A"))]
+    members = spark.createDataFrame([(1, "c", s, r["name"], r["inchikey"]) for s, r in zip(("chebi", "comptox", "pubchem"), rows)], "q_idx bigint, cluster string, source string, name string, inchikey string")
+    for c in (*rs.RECORD, "cas"):
+        if c not in members.columns:
+            members = members.withColumn(c, F.lit(None).cast("double" if c == "mass" else "array<string>" if c == "cas" else "string"))
+    found = {r["source"]: r["match_score"] for r in rs.consensus(members).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, rows[a]["name"], rows[b]["name"]).ratio()
+    gain = lambda x: 1.0 if x >= 0.9 else 0.5 if x >= 0.7 else 0.0
+    assert found["chebi"] == 1.0 and found["comptox"] == pytest.approx((3 + gain(ratio(0, 1))) / 4) and found["pubchem"] == pytest.approx((3 + gain(ratio(0, 2))) / 4)
+
+
+def test_scores_of_names(spark):
+    """The best ratio over name, IUPAC name and synonyms, with case, tells how well a name was met."""
+    held = {"pubchem": catalog(spark, {"name": "Aspirin", "synonyms": "ASPIRIN; x"}, {"name": "aspirin", "iupac_name": "y", "synonyms": None})}
+    got = {x[3]: x[2] for x in _pool_of(spark, "ASPIRIN", held, "name")}
+    assert got == {"Aspirin": 1.0, "aspirin": 0.0}
+
+
+@pytest.mark.parametrize(
+    "name, a, b, want",
+    [
+        ("ratio", "abc", "abd", 200 * 2 / 6), ("partial_ratio", "bcd", "abcde", 100), ("partial_ratio", "", "", 100), ("token_sort_ratio", "new york mets", "mets new york", 100), ("token_set_ratio", "fuzzy was a bear", "fuzzy fuzzy was a bear", 100),
+        ("token_set_ratio", "", "x", 0), ("WRatio", "", "x", 0), ("WRatio", "caffiene", "ne", 90), ("WRatio", "abc def", "def abc", 95), ("QRatio", "", "", 0), ("QRatio", "ab", "ab", 100),
+    ],
+)
+def test_scorers(spark, name, a, b, want):
+    from keyweave.functions.similarity import scorer
+
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(scorer(name)("a", "b").alias("s")).first()
+    assert row["s"] == pytest.approx(want)
+
+
+def test_fuzzy_without_a_cutoff(spark):
+    """Every name is returned at cutoff 0, however long."""
+    names = ["abc", "x" * 1_500, "", "abd"]
+    df = spark.createDataFrame([(n,) for n in names], "w string")
+    got = lookup.fuzzy_top_n(df, df, "w", "w", 0, 10).collect()
+    assert {(r["query"], r["name"]) for r in got} == {(a, b) for a in names for b in names}
+
+
+def test_each_miss_and_stage_is_computed_once(spark, tmp_path):
+    from keyweave.operators import enrich as en
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(keys):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return keys.mapInArrow(run, keys.schema).withColumn("v", F.lit("x"))
+
+    memo_table = spark.createDataFrame([("a", "x")], "key string, v string")
+    every, new = memo.memoised(spark.createDataFrame([(c,) for c in "abcab"], "key string"), memo_table, counted)
+    assert every.count() == 3 and new.count() == 2 and seen.value == 2
+    rows = spark.createDataFrame([(i, f"k{i}", f"m{i}") for i in range(6)], "id bigint, a string, b string")
+    stage = lambda keep: lambda keys: counted(keys).where(keep)
+    found = en.resolve_cascade(rows, "id", [("one", "a", stage("query < 'k2'")), ("two", "b", stage("query < 'm4'")), ("three", "a", stage("true"))])
+    assert sorted((r["id"], r["resolved_by"]) for r in found.collect()) == [(0, "one"), (1, "one"), (2, "two"), (3, "two"), (4, "three"), (5, "three")]
+    assert seen.value == 2 + 6 + 4 + 2
+
+
+def test_long_fingerprints(spark):
+    import random
+
+    rng = random.Random(2)
+    prints = [[rng.getrandbits(63) & rng.getrandbits(63) for _ in range(32)] for _ in range(30)] + [[0] * 32]
+    prints += [[p[0] ^ 5, *p[1:]] for p in prints[:5]]
+    df = spark.createDataFrame(list(enumerate(prints)), "id bigint, fp array<bigint>")
+    ones = lambda xs: sum(x.bit_count() for x in xs)
+    score = lambda a, b: ones(x & y for x, y in zip(a, b)) / ones(x | y for x, y in zip(a, b))
+    want = {(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if ones(a) and ones(b) and score(a, b) >= 0.6}
+    assert {(r["query_id"], r["id"]) for r in lookup.tanimoto_top_k(df, df, "id", "fp", 0.6, 100).collect()} == want
