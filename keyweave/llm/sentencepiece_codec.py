@@ -32,19 +32,19 @@ CHUNK_CHARS, CHUNK_IDS, REMEMBERED = 1 << 20, 1 << 20, 250_000
 _MARKED = re.compile(r" *[^ \n]+| +|\n")
 
 
-#: What a worker process keeps for its next task: one model's trie and the pairs of pieces it has tried.
-_HELD: dict[str, Viterbi] = {}
+#: What a worker process keeps for its next task: one model's trie, the pairs of pieces it has tried, and up to REMEMBERED words with their ids.
+_HELD: dict[str, tuple[Viterbi, dict[str, bytes]]] = {}
 
 
-def _held(name: str, parts: tuple) -> Viterbi:
+def _held(name: str, parts: tuple) -> tuple[Viterbi, dict[str, bytes]]:
     if name not in _HELD:
         _HELD.clear()
-        _HELD[name] = Viterbi(Vocabulary(*parts))
+        _HELD[name] = Viterbi(Vocabulary(*parts)), {}
     return _HELD[name]
 
 
-def _encode(batches: Iterable[pa.RecordBatch], best: Viterbi, at: int) -> Iterator[pa.RecordBatch]:
-    known: dict[str, bytes] = {}
+def _encode(batches: Iterable[pa.RecordBatch], held: tuple[Viterbi, dict[str, bytes]], at: int) -> Iterator[pa.RecordBatch]:
+    best, known = held
     for batch in batches:
         first = 0
         while first < batch.num_rows:
