@@ -49,16 +49,39 @@ def fetch(keys: DataFrame, key: str, service: str, option: str = "", get: Fetch
     """key, url, status, body for the distinct present keys; a failed call is a row, not an error. Not-found answers aren't tried again."""
     wait = SERVICES[service][1] if pause is None else pause
 
+    return run_calls(keys, key, lambda k: (build_url(service, k, option), None), lambda url, body: get(url), wait, partitions, retries)
+
+
+Send = Callable[[str, str | None], tuple[int, str | None]]
+
+
+def http_send(url: str, body: str | None = None, timeout: float = 30, headers: dict[str, str] | None = None) -> tuple[int, str | None]:
+    """As http_get; with a body the call is a POST."""
+    if body is None:
+        return http_get(url, timeout, headers)
+    try:
+        request = urllib.request.Request(url, data=body.encode(), headers=headers or {}, method="POST")
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            return reply.status, reply.read().decode("utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        return e.code, None
+    except OSError:
+        return 0, None
+
+
+def run_calls(keys: DataFrame, key: str, request: Callable[[str], tuple[str, str | None]], send: Send, wait: float, partitions: int, retries: int) -> DataFrame:
+    """key, url, status, body for the distinct present keys, each partition at its own pace; refused calls (4xx) aren't tried again."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = 0.0
         for batch in batches:
             rows = []
             for value in batch["key"]:
-                url, status, body = build_url(service, value, option), 0, None
+                (url, data), status, body = request(value), 0, None
                 for attempt in range(retries + 1):
                     time.sleep(max(0.0, last + wait * 2**attempt - time.time()))
                     last = time.time()
-                    status, body = get(url)
+                    status, body = send(url, data)
                     if status == 200 or 400 <= status < 500:
                         break
                 rows.append((value, url, status, body))
