@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.operators import enrich as en
+from keyweave.operators import identify
 from keyweave.operators import resolve as rs
 from keyweave.plans.lookup_queries import ratio_sql
 from keyweave.plans.registry import Registry, table
@@ -297,3 +298,19 @@ def tolerance_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"unit_price": F.col("l_extendedprice") / F.col("l_quantity"), "wanted": F.concat(F.lit("BRAND#"), (F.col("l_partkey") % 25).cast("string"))})
     accept = en.within_tolerance("unit_price", "p_retailprice", 700, {"name": ("p_brand", "wanted")})
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(accept(), "+").alias("accepted"))
+
+
+_CAS_KEYS = "SELECT DISTINCT p_brand AS casrn FROM part UNION ALL SELECT 'NO SUCH NUMBER'"
+
+
+@REG.query(f"""
+WITH keys AS ({_CAS_KEYS}), a AS ({_view_sql("chebi", "duckdb")}), b AS ({_view_sql("comptox", "duckdb")}), c AS ({_view_sql("pubchem", "duckdb")}),
+first AS (SELECT cas[1] AS casrn, arg_min(a, id) AS r FROM a GROUP BY 1), second AS (SELECT cas[1] AS casrn, arg_min(b, id) AS r FROM b GROUP BY 1), third AS (SELECT cas[1] AS casrn, arg_min(c, id) AS r FROM c GROUP BY 1),
+met AS (SELECT k.casrn, f.r AS f, s.r AS s, CASE WHEN s.r.smiles IS NULL THEN t.r END AS t FROM keys k LEFT JOIN first f USING (casrn) LEFT JOIN second s USING (casrn) LEFT JOIN third t USING (casrn))
+SELECT casrn, coalesce(f.name, s.name, t.name) AS name, coalesce(f.name, s.name, t.name) AS iupac_name, coalesce(f.formula, s.formula, t.formula) AS formula,
+  coalesce(s.smiles, t.smiles) AS smiles, coalesce(f.inchikey, s.inchikey, t.inchikey) AS inchikey, s.dtxsid AS dtxsid, round(coalesce(s.mass, t.mass), 4) AS mass,
+  CASE WHEN s.smiles IS NOT NULL THEN 'comptox' WHEN t.smiles IS NOT NULL THEN 'pubchem' END AS source FROM met""")
+def ids_from_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query")).unionByName(spark.createDataFrame([("NO SUCH NUMBER",)], "query string"))
+    found = identify.ids_from_cas(keys, catalogs(spark, sf_dir))
+    return found.select("casrn", "name", "iupac_name", "formula", "smiles", "inchikey", "dtxsid", F.round("mass", 4).alias("mass"), "source")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyweave.functions.cols import norm_name
-from keyweave.operators import classify, enrich, inventory, lookup, memo
+from keyweave.operators import classify, enrich, identify, inventory, lookup, memo
 from keyweave.operators import resolve as rs
 from keyweave.sources import files, rest
 from keyweave.sources.catalogs import COLUMN_MAPS, Registry, as_candidates
@@ -216,6 +216,28 @@ def test_waterfall(spark):
     assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {"x": ("S1", "last", "a"), "y": ("S3", "n", "b"), "z": (None, None, None)}
 
 
+def test_ids_from_cas(spark):
+    def catalog(*records):
+        columns = {c: c for c in ("id", "name", "iupac_name", "smiles", "inchikey", "mass", "cas")}
+        return as_candidates(spark.createDataFrame(list(records), "id string, name string, iupac_name string, smiles string, inchikey string, mass double, cas string"), columns)
+
+    catalogs = {
+        "chebi": catalog(("2", "late", "x", "S9", None, 9.0, "50-78-2"), ("1", "one", "x", None, "K1", 9.0, "50-78-2"), ("3", "two", None, "S2", None, 9.0, "58-08-2")),
+        "comptox": catalog(("4", "other", "iupac", "S1", "K9", None, "50-78-2"), ("5", "unasked", None, "S8", None, 1.0, "58-08-2")),
+        "zeropm": catalog(("6", "no name taken", None, None, "K3", 3.0, "64-17-5")),
+        "chembl": catalog(("8", "of the structure", None, "S1", "K8", 180.2, None), ("7", "of the structure", None, "S1", "K7", 180.1, None)),
+    }
+    keys = spark.createDataFrame([("50-78-2",), (" 50-78-2 ",), ("58-08-2",), ("64-17-5",), ("7732-18-5",), ("",), (None,)], "query string")
+    got = {r["casrn"]: tuple(r)[1:] for r in identify.ids_from_cas(keys, catalogs).select("casrn", "name", "iupac_name", "smiles", "inchikey", "mass", "source").collect()}
+    assert got == {
+        "50-78-2": ("one", "one", "S1", "K1", 180.1, "comptox"),
+        "58-08-2": ("two", "two", "S2", None, None, "chebi"),
+        "64-17-5": (None, None, None, "K3", None, None),
+        "7732-18-5": (None, None, None, None, None, None),
+    }
+    assert identify.ids_from_cas(keys, {}).count() == 4
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("a",), ("b",)], "k string").write.parquet(str(tmp_path / "in"))
     known = spark.createDataFrame([("a", 1)], "query string, v int")
