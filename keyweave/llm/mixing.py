@@ -88,7 +88,7 @@ def _fill(group: pd.DataFrame) -> pd.DataFrame:
     if out and sizes[out[0]] - left < left:
         taken = sorted([*taken, out[0]])
     if not taken:
-        return pd.DataFrame({"source": group["source"].iloc[:0], "cut": [], "skipped": []})
+        return pd.DataFrame({"source": [], "cut": [], "skipped": []}, dtype=object)  # no numbers: Arrow makes no lists of them
     skipped = us[sorted({*range(taken[-1])} - {*taken})].tolist()
     return pd.DataFrame({"source": [group["source"].iloc[0]], "cut": [us[taken[-1]]], "skipped": [skipped]})
 
