@@ -91,13 +91,14 @@ def base_confidence(method: Column, score: Column) -> Column:
 
 
 def confidence(method: Column, consensus: Column, query_score: Column, n_sources: Column, query_weight: float = 0.5) -> Column:
-    """base x (w q + 1 - w) x (0.5 + 0.5 consensus) x support in [0, 1], 4 decimals (the last bits of a double don't decide a tie); 0 without any consensus."""
+    """base x (w q + 1 - w) x (0.5 + 0.5 consensus) x support in [0, 1], 4 decimals; 0 without any consensus."""
     q = F.when(method.isin(*SCORED), 1.0).otherwise(F.coalesce(query_score, F.lit(1.0)))
     support = F.lit(1.0)
     for n, factor in SUPPORT.items():
         support = F.when(n_sources == n, factor).otherwise(support)
     value = base_confidence(method, query_score) * (query_weight * q + (1 - query_weight)) * (0.5 + 0.5 * consensus) * support
-    return F.when(consensus == 0, 0.0).otherwise(F.round(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 12), 4))
+    # a double is scaled, then rounded, as SQL engines do: rounding its decimal text ends otherwise near a half
+    return F.when(consensus == 0, 0.0).otherwise(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * 10_000) / 10_000)
 
 
 def completeness() -> Column:

@@ -81,6 +81,11 @@ def test_confidence(spark):
         assert by_support == sorted(by_support) and all(0 <= x <= 1 for x in by_support)
 
 
+def test_a_confidence_just_under_a_half_is_rounded_down(spark):
+    """0.9 x 0.95 x 0.95 is 0.8122499999999999 as a double."""
+    assert scored(spark, "exact_cas", 0.9, 1.0, 2) == 0.8122
+
+
 ASPIRIN = dict(name="aspirin", iupac_name=None, formula="C9H8O4", smiles="CC(=O)Oc1ccccc1C(=O)O", canonical_smiles=None, inchi=None, inchikey="BSYNRYMUTXBXSQ-UHFFFAOYSA-N", dtxsid=None, mass=180.16, synonyms=None, cas=["50-78-2"])
 SCHEMA = "id string, name string, iupac_name string, formula string, smiles string, canonical_smiles string, inchi string, inchikey string, dtxsid string, mass double, synonyms string, cas array<string>"
 
