@@ -86,6 +86,15 @@ def test_a_confidence_just_under_a_half_is_rounded_down(spark):
     assert scored(spark, "exact_cas", 0.9, 1.0, 2) == 0.8122
 
 
+def test_a_key_confirmed_by_two_catalogs_has_the_confidence_of_the_sql(spark):
+    """Two catalogs that agree in 9 of 10 points: 0.95 x 0.975 is 0.9262499999999999 as a double."""
+    asked = spark.createDataFrame([(1, ASPIRIN["inchikey"])], "q_idx bigint, query string")
+    # number 3, key 3, formula 1, name 1 and 1 of 2 for a mass within 1
+    held = {"chebi": catalog(spark, dict(smiles=None)), "comptox": catalog(spark, dict(mass=180.66))}
+    got = rs.resolve(asked, rs.pool(asked, held, "inchikey")).first()
+    assert (got["consensus"], got["confidence"]) == (0.95, 0.9262)
+
+
 ASPIRIN = dict(name="aspirin", iupac_name=None, formula="C9H8O4", smiles="CC(=O)Oc1ccccc1C(=O)O", canonical_smiles=None, inchi=None, inchikey="BSYNRYMUTXBXSQ-UHFFFAOYSA-N", dtxsid=None, mass=180.16, synonyms=None, cas=["50-78-2"])
 SCHEMA = "id string, name string, iupac_name string, formula string, smiles string, canonical_smiles string, inchi string, inchikey string, dtxsid string, mass double, synonyms string, cas array<string>"
 
