@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.functions.similarity import indel_ratio, may_reach, tanimoto
+from keyweave.functions.similarity import indel_ratio, may_reach
 from keyweave.operators.durable import checkpointed
+from keyweave.operators.nearest import nearest
 
 Fold = Callable[[Column], Column]
 
@@ -141,23 +142,16 @@ def exact_then_fuzzy(queries: DataFrame, names: DataFrame, key: str, name: str,
     return exact.unionByName(wider)
 
 
-def tanimoto_top_k(queries: DataFrame, fingerprints: DataFrame, id_col: str, bits: str, threshold: float, k: int, salts: int = 16) -> DataFrame:
+def tanimoto_top_k(queries: DataFrame, fingerprints: DataFrame, id_col: str, bits: str, threshold: float, k: int | None) -> DataFrame:
     """query_id, id, score, rank: per query the k fingerprints with Tanimoto >= threshold, ties by id.
 
-    bits is a long, or an array of longs for fingerprints of any size (2,048 bits are 32 longs). The
-    ratio of the bit counts bounds the score from above, so a query meets only counts from threshold
-    x its own to its own / threshold: an equi-join on (count, salt).
+    bits is a long, or an array of longs for fingerprints of any size (2,048 bits are 32 longs);
+    fingerprints without a bit meet nothing. Blocks of queries meet blocks of fingerprints, so the
+    work is that of all pairs whose bit counts allow the score, a word operation each.
     """
     whole = lambda df: F.col(bits) if df.schema[bits].dataType.typeName() == "array" else F.array(bits)
-    ones = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.bit_count(x))
-    left = queries.select(F.col(id_col).alias("query_id"), whole(queries).alias("_a")).withColumn("_n", ones(F.col("_a"))).where("_n > 0")
-    right = fingerprints.select(F.col(id_col).alias("id"), whole(fingerprints).alias("_b"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_salt")).withColumn("_count", ones(F.col("_b")))
-    low, high = F.ceil(F.col("_n") * threshold - 1e-9), F.floor(F.col("_n") / threshold + 1e-9)
-    # counts that fingerprints have: at most one more than they have bits
-    counts = F.lit([r[0] for r in right.select("_count").distinct().collect() if r[0] is not None] or [0]).cast("array<int>")
-    left = left.withColumn("_count", F.explode(F.filter(counts, lambda n: n.between(low, high)))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    scored = left.join(right, ["_count", "_salt"]).withColumn("score", tanimoto(F.col("_a"), F.col("_b"))).where(F.col("score") >= threshold)
-    return first_k(scored.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), "id"], k)
+    held = lambda df: df.select(F.col(id_col).alias("id"), whole(df).alias("bits")).where("exists(bits, x -> x <> 0)")
+    return first_k(nearest(held(queries), held(fingerprints), threshold, k), ["query_id"], [F.desc("score"), "id"], k)
 
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:

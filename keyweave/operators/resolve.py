@@ -347,7 +347,7 @@ def _by_skeleton(pending: DataFrame, catalog: DataFrame, source: str) -> DataFra
 
 
 def _by_fingerprint(pending: DataFrame, catalog: DataFrame, source: str, config: ResolverConfig, salts: int = 16) -> DataFrame:
-    """The row with the most similar fingerprint at or above the threshold: an equi-join on (bit count, salt), as in tanimoto_top_k."""
+    """The row with the most similar fingerprint at or above the threshold: an equi-join on (bit count, salt)."""
     t = config.similarity_threshold
     ones = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.bit_count(x))
     left = pending.withColumn("_a", chem.morgan_bits("query")).withColumn("_n", ones(F.col("_a"))).where("_n > 0")

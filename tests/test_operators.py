@@ -505,3 +505,34 @@ def test_long_fingerprints(spark):
     score = lambda a, b: ones(x & y for x, y in zip(a, b)) / ones(x | y for x, y in zip(a, b))
     want = {(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if ones(a) and ones(b) and score(a, b) >= 0.6}
     assert {(r["query_id"], r["id"]) for r in lookup.tanimoto_top_k(df, df, "id", "fp", 0.6, 100).collect()} == want
+
+
+@pytest.mark.parametrize("threshold, k, chunked_from", [(0.5, 5, 1), (0.3, 2, 1), (0.9, 3, 1), (0.5, 5, 1 << 30), (0.3, None, 1)])
+def test_nearest_fingerprints_by_chunks_and_by_blocks(spark, threshold, k, chunked_from):
+    """With copies, ties, few and many bits; text ids; several blocks."""
+    import random
+
+    from keyweave.operators.nearest import nearest
+
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) & (rng.getrandbits(64) | rng.getrandbits(64)) for _ in range(300)] + [1, 1, 3, (1 << 64) - 1]
+    prints += prints[:20] + [p ^ (1 << rng.randrange(64)) for p in prints[:100]]
+    held = [(f"k{i:04}", p) for i, p in enumerate(prints)]
+    signed = [(i, [p - (1 << 64) if p >> 63 else p]) for i, p in held] + [("none", None), ("null", [None]), ("wide", [7, 7])]
+    df = spark.createDataFrame(signed, "id string, bits array<bigint>")
+    got = lookup.first_k(nearest(df, df.where("id <> 'wide'"), threshold, k, 100, 150, chunked_from), ["query_id"], [F.desc("score"), "id"], k)
+    score = lambda a, b: (a & b).bit_count() / (a | b).bit_count()
+    want = []
+    for i, a in held:
+        best = sorted((-score(a, b), j) for j, b in held if score(a, b) >= threshold)[:k]
+        want += [(i, j, -s, rank) for rank, (s, j) in enumerate(best, 1)]
+    assert rows(got, "query_id", "id", "score", "rank") == sorted(want)
+
+
+def test_many_fingerprints_in_a_minute(spark):
+    import time
+
+    df = spark.range(30_000).select("id", F.xxhash64("id").alias("fp"))
+    began = time.time()
+    assert lookup.tanimoto_top_k(df, df, "id", "fp", 0.5, 1).where("id = query_id and score = 1").count() == 30_000
+    assert time.time() - began < 60
