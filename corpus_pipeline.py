@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup by Jaccard similarity, mixing, SentencePiece encoding.
+"""The corpus pipeline: quality rules, exact dedup, SimHash near dedup, mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs, so no stage recomputes another. All but the last return the columns
@@ -29,7 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 over 5-word shingles: that with the smallest doc_id."""
+    """One document of each group linked by a Jaccard similarity of 0.8 over 5-word shingles, met by their SimHash popcounts: that with the smallest doc_id."""
     return near_dedup.deduplicate(docs)
 
 
