@@ -7,7 +7,7 @@ threshold and rises to the score of a query's k-th best so far; what only equals
 by id, so nothing is lost and a block returns k rows per query at most.
 
 Many fingerprints of 64 bits don't all meet. Of two that differ in h bits one of the four chunks of
-16 bits differs in h / 4 at most. A task takes one chunk and some of its values; queries of one value
+16 bits differs in h / 4 at most. A task takes the queries with some values of one chunk; those of a value
 meet the fingerprints whose chunk differs in 0 or 1 bit, then in 2 and so on, until the bound leaves
 no h that needs another step. That ends with all pairs at the latest, so it is exact for any data.
 """
@@ -34,14 +34,14 @@ HELD = 4096
 
 
 def _pack(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, bits) as one row per block and width: ids in order as an Arrow stream, the words of all bits."""
+    """Rows (id, bits, run) as one row per run, width and block: ids in order as an Arrow stream, the words of all bits."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    width = pc.list_value_length(table["bits"]).to_numpy()
-    for w in np.unique(width):
-        same = table.filter(pa.array(width == w))
+    width, run = pc.list_value_length(table["bits"]).to_numpy(), table["run"].to_numpy()
+    for r, w in np.unique(np.stack([run, width]), axis=1).T:
+        same = table.filter(pa.array((run == r) & (width == w)))
         for at in range(0, same.num_rows, rows):
             part = same.slice(at, rows)
             part = part.take(pc.sort_indices(part, sort_keys=[("id", "ascending")], null_placement="at_start")).combine_chunks()
@@ -49,7 +49,8 @@ def _pack(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
             with pa.ipc.new_stream(sink, part.select(["id"]).schema) as out:
                 out.write_table(part.select(["id"]))
             words = pc.list_flatten(part["bits"]).to_numpy()
-            yield pa.record_batch([pa.array([int(w)], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())], names=["width", "ids", "bits"])
+            columns = [pa.array([r], pa.int32()), pa.array([w], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())]
+            yield pa.record_batch(columns, names=["run", "width", "ids", "bits"])
 
 
 def _common(a: np.ndarray, b: np.ndarray, both: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -133,14 +134,13 @@ def _first_chunk(differing: np.ndarray) -> np.ndarray:
     return np.argmax([np.bitwise_count(_chunk(differing, c)) <= most for c in range(CHUNKS)], axis=0)
 
 
-def top_k_by_chunk(a: np.ndarray, b: np.ndarray, threshold: float, k: int, chunk: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As top_k for words of 64 bits, of the queries whose chunk has a value of this part: those of the k best whose first chunk it is."""
+def top_k_by_chunk(a: np.ndarray, b: np.ndarray, threshold: float, k: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As top_k for words of 64 bits: those of the k best whose first chunk with at most a quarter of the differing bits it is."""
     values = np.arange(1 << BITS)
     distance = np.bitwise_count(values)
     masks = [np.flatnonzero(distance <= 1), *(np.flatnonzero(distance == r) for r in range(2, BITS + 1))]
     value, b_count = _chunk(a, chunk), np.bitwise_count(b)
-    mine = np.flatnonzero(value % parts == part)
-    mine = mine[np.argsort(value[mine], kind="stable")]
+    mine = np.argsort(value, kind="stable")
     # fingerprints by value of the chunk, those of a value by classes of counts
     n = np.arange(65)
     present = np.bincount(b_count, minlength=65) > 0
@@ -216,13 +216,11 @@ def _meet(batches: Iterable[pa.RecordBatch], threshold: float, k: int | None, ty
             if width != b_width:
                 continue
             words = lambda raw: np.frombuffer(raw, np.uint64).reshape(-1, width)
-            run = batch.column("run")[row].as_py()
-            if run >= 0 and width == 1:
-                i, j, score = top_k_by_chunk(words(a_bits)[:, 0], words(b_bits)[:, 0], threshold, k, run % CHUNKS, run // CHUNKS, PARTS)
-            elif run <= 0:
+            run = batch.column("a_run")[row].as_py()
+            if run < 0:
                 i, j, score = top_k(words(a_bits), words(b_bits), threshold, k)
             else:
-                continue
+                i, j, score = top_k_by_chunk(words(a_bits)[:, 0], words(b_bits)[:, 0], threshold, k, run % CHUNKS)
             left, right = _ids(a_ids), _ids(b_ids)
             for at in range(0, len(i), 1 << 16):
                 some = slice(at, at + (1 << 16))
@@ -240,17 +238,21 @@ def nearest(queries: DataFrame, fingerprints: DataFrame, threshold: float, k: in
     queries, fingerprints = (df.where("size(bits) > 0 and not exists(bits, x -> x is null)") for df in (queries, fingerprints))
     sizes = [df.count() for df in (queries, fingerprints)]
     chunked = k is not None and min(sizes) >= chunked_from
-    runs = range(CHUNKS * PARTS) if chunked else [-1]
+    block = CHUNKED_ROWS if chunked else block_rows
+    none = F.lit(-1)
 
-    def packed(df: DataFrame, size: int, rows: int) -> DataFrame:
-        rows = CHUNKED_ROWS if chunked else rows
-        return checkpointed(df.repartition(max(1, -(-size // rows))).mapInArrow(lambda b: _pack(b, rows), "width int, ids binary, bits binary"))
+    def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return checkpointed(df.mapInArrow(lambda b: _pack(b, rows), "run int, width int, ids binary, bits binary")).toDF(*(f"{name}_{c}" for c in ("run", "width", "ids", "bits")))
 
-    types = tuple(to_arrow_type(df.schema["id"].dataType) for df in (queries, fingerprints))
-    a = packed(queries, sizes[0], query_rows).toDF("a_width", "a_ids", "a_bits")
-    b = packed(fingerprints, sizes[1], block_rows).toDF("b_width", "b_ids", "b_bits")
-    met = a.crossJoin(b).withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
     if chunked:
-        met = met.repartition(F.col("run"))
+        # a query of 64 bits once for each chunk, with those whose chunk has a value of the same part
+        value = lambda c: F.shiftrightunsigned(F.get("bits", F.lit(0)), BITS * c).bitwiseAND(F.lit((1 << BITS) - 1))
+        each = F.array(*[(c + CHUNKS * F.pmod(value(c), F.lit(PARTS))).cast("int") for c in range(CHUNKS)])
+        dealt = queries.withColumn("run", F.explode(F.when(F.size("bits") == 1, each).otherwise(F.array(none)))).repartitionByRange(CHUNKS * PARTS, "run")
+    else:
+        dealt = queries.withColumn("run", none).repartition(max(1, -(-sizes[0] // query_rows)))
+    a = packed(dealt, block if chunked else query_rows, "a")
+    b = packed(fingerprints.withColumn("run", none).repartition(max(1, -(-sizes[1] // block))), block, "b")
+    types = tuple(to_arrow_type(df.schema["id"].dataType) for df in (queries, fingerprints))
     names = [f"{n} {df.schema['id'].dataType.simpleString()}" for n, df in (("query_id", queries), ("id", fingerprints))]
-    return met.mapInArrow(lambda x: _meet(x, threshold, k, types), f"{', '.join(names)}, score double")
+    return a.crossJoin(b).mapInArrow(lambda x: _meet(x, threshold, k, types), f"{', '.join(names)}, score double")
