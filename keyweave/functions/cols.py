@@ -56,6 +56,11 @@ def to_float(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double is scaled, then rounded, as SQL engines do: rounding its decimal text ends otherwise near a half."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def norm_ws(c: Column) -> Column:
     """Lower case, white space squeezed; two names are the same name if these are equal."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"[\s ]+", " ")), "^ | $", "")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyweave.functions import chem
-from keyweave.functions.cols import has_attachment_point, norm_name, skeleton
+from keyweave.functions.cols import has_attachment_point, norm_name, rounded, skeleton
 from keyweave.functions.similarity import best_name_score, candidate_similarity, name_matrix, tanimoto
 from keyweave.operators.durable import checkpointed
 from keyweave.operators.lookup import first_k, fuzzy_top_n
@@ -97,8 +97,7 @@ def confidence(method: Column, consensus: Column, query_score: Column, n_sources
     for n, factor in SUPPORT.items():
         support = F.when(n_sources == n, factor).otherwise(support)
     value = base_confidence(method, query_score) * (query_weight * q + (1 - query_weight)) * (0.5 + 0.5 * consensus) * support
-    # a double is scaled, then rounded, as SQL engines do: rounding its decimal text ends otherwise near a half
-    return F.when(consensus == 0, 0.0).otherwise(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * 10_000) / 10_000)
+    return F.when(consensus == 0, 0.0).otherwise(rounded(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 4))
 
 
 def completeness() -> Column:

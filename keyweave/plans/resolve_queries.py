@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyweave.functions.cols import rounded
 from keyweave.operators import enrich as en
 from keyweave.operators import identify
 from keyweave.operators import resolve as rs
@@ -115,7 +116,7 @@ round(h.consensus, 6)::DOUBLE AS consensus, h.confidence, h.n_source_support, h.
 
 
 def _shown(hits: DataFrame) -> DataFrame:
-    return hits.withColumns({"mass": F.round("mass", 4), "consensus": F.round("consensus", 6), "consensus_source": F.col("anchor"), "hit_rank": F.col("hit_rank").cast("long")}).select(*_SHOWN)
+    return hits.withColumns({"mass": rounded(F.col("mass"), 4), "consensus": rounded(F.col("consensus"), 6), "consensus_source": F.col("anchor"), "hit_rank": F.col("hit_rank").cast("long")}).select(*_SHOWN)
 
 
 def _resolved(spark: SparkSession, sf_dir: str, config: rs.ResolverConfig, kind: str = "name", queries: DataFrame | None = None) -> DataFrame:

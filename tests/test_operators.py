@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from keyweave.functions.cols import norm_name
 from keyweave.operators import classify, enrich, identify, inventory, lookup, memo
 from keyweave.operators import resolve as rs
+from keyweave.plans import catalogue, resolve_queries
 from keyweave.sources import files, rest
 from keyweave.sources.catalogs import COLUMN_MAPS, Registry, as_candidates
 from keyweave.streaming.enrich import enrich_stream
@@ -95,6 +96,20 @@ def test_a_key_confirmed_by_two_catalogs_has_the_confidence_of_the_sql(spark):
     assert (got["consensus"], got["confidence"]) == (0.95, 0.9262)
 
 
+def test_masses_of_keys_are_rounded_as_in_the_sql(spark, tmp_path):
+    """Masses at a half of the fourth decimal, as doubles under it, over it and on it."""
+    duckdb = pytest.importorskip("duckdb")
+    prices = [2.69445, 2.18035, 7075.61005, 183.97005, 0.00005, 901.25, -2.69445, None]
+    # numbers that only the first source sees, so the price is the mass
+    parts = [(2 + 30 * i, f"n{i}", "b", "t", 1, x) for i, x in enumerate(prices)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = resolve_queries.resolve_inchikey(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+        want = con.execute(f"SELECT q_idx, mass FROM ({catalogue.oracle_sql()['resolve_inchikey']}) ORDER BY ALL").fetchall()
+    assert len(want) == len(prices) and rows(got, "q_idx", "mass") == want
+
+
 ASPIRIN = dict(name="aspirin", iupac_name=None, formula="C9H8O4", smiles="CC(=O)Oc1ccccc1C(=O)O", canonical_smiles=None, inchi=None, inchikey="BSYNRYMUTXBXSQ-UHFFFAOYSA-N", dtxsid=None, mass=180.16, synonyms=None, cas=["50-78-2"])
 SCHEMA = "id string, name string, iupac_name string, formula string, smiles string, canonical_smiles string, inchi string, inchikey string, dtxsid string, mass double, synonyms string, cas array<string>"
 
